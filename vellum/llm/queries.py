@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import components, distinctive, frequency, leakage, lookalike, packing, spans, split
+from vellum.llm import components, distinctive, frequency, leakage, lookalike, neardup, packing, spans, split
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -59,6 +59,19 @@ def p6_forms(s, d):
     return lookalike.canonical_surfaces(_t(s, d, "token_definitions"))
 
 
+def p7_found(s, d):
+    return neardup.near_page_pairs(_t(s, d, "page_lemmas"))
+
+
+def p7_groups(s, d):
+    """Each page with its class, its group of linked classes and the number of its class's links."""
+    members, links = neardup.near_pages(_t(s, d, "page_lemmas"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    group = components.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("v").alias("rep"), "root")
+    out = members.join(group, "rep", "left").join(ends, "rep", "left")
+    return out.select("book_id", "part_index", "page_id", "rep", F.coalesce("root", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def p8_containers(s, d):
     return packing.pack(_t(s, d, "documents"))
 
