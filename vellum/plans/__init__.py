@@ -1 +1 @@
-
+"""Whole pipelines."""

@@ -1,11 +1,268 @@
-"""The queries of the reference's operators and their SQL."""
+"""The queries of the engine's operators over the tables of a folder, and their SQL."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vellum.functions.cut import cut
+from vellum.functions.pages import KEY
+from vellum.functions.text import decode_u32, encode_u32, page_location, preview, span_location, truncate_text
+from vellum.operators import edges as E
+from vellum.operators import passages as P
+from vellum.operators import review as R
+from vellum.operators import stats, tokens, weights, windows
+from vellum.operators.align import window_alignments
+from vellum.operators.positions import page_ranges, page_sizes
+from vellum.params import Params
+from vellum.plans.compare import compare
+from vellum.plans.oracles import oracle_sql  # noqa: F401
+from vellum.sinks.files import edge_text, flat_edges
+
+DEFAULT = Params()
+
+
+def _t(s, d, name) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _defs(s, d):
+    return tokens.token_dim(_t(s, d, "token_definitions"))
+
+
+def _pages(s, d):
+    return tokens.page_lemmas(_t(s, d, "page_tokens"), _defs(s, d))
+
+
+def _windows(s, d):
+    return windows.token_windows(_pages(s, d), DEFAULT)
+
+
+def _stored(s, d):
+    """The stored windows, each once, null arrays as []."""
+    none = F.array().cast("array<bigint>")
+    return _t(s, d, "windows").dropDuplicates(["book_id", "window_idx"]).withColumns({c: F.coalesce(c, none) for c in ("lemma_ids", "root_ids")})
+
+
+def _edges(s, d):
+    """The stored edges, each id once."""
+    return _t(s, d, "edges").dropDuplicates(["id"])
+
+
+def _joined(ids):
+    return F.concat_ws(",", F.transform(ids, lambda x: x.cast("string")))
+
+
+def _ppm(c):
+    return F.floor(F.col(c).cast("double") * 1000000).alias(f"{c}_ppm")
+
+
+def corpus_stats(s, d):
+    return stats.corpus_stats(_t(s, d, "page_tokens"), _t(s, d, "token_definitions"), _t(s, d, "lemmas"))
+
+
+def book_info(s, d):
+    out = stats.book_info(_t(s, d, "page_tokens"), _pages(s, d))
+    return out.withColumn("tokens_per_page", F.floor(F.col("tokens_per_page") * 1000))
+
+
+def book_pages_labels(s, d):
+    t = _t(s, d, "page_tokens").select(*KEY).distinct()
+    labels = t.select(*KEY, F.when(F.col("page_id") % 3 != 0, F.col("page_id").cast("string")).alias("page_number"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("part "), F.col("part_index").cast("string"))).alias("part_label"))
+    return stats.book_pages(_t(s, d, "page_tokens"), labels)
+
+
+def blob_roundtrip(s, d):
+    p = _t(s, d, "page_tokens").select(*KEY, "token_ids").dropDuplicates(KEY)
+    ids = decode_u32(F.col("token_ids"))
+    return p.select(*KEY, F.size(ids).cast("bigint").alias("n"), _joined(ids).alias("ids"), F.hex(encode_u32(ids)).alias("packed"))
+
+
+def token_stream(s, d):
+    return tokens.token_stream(_t(s, d, "page_tokens"), _defs(s, d))
+
+
+def lemma_stream(s, d):
+    return tokens.lemma_stream(_t(s, d, "page_tokens"), _defs(s, d))
+
+
+def page_offsets(s, d):
+    return page_ranges(page_sizes(_t(s, d, "page_tokens")))
+
+
+def position_to_page(s, d):
+    at = _t(s, d, "windows").select("book_id", F.col("global_start").alias("pos")).distinct()
+    return E.position_to_page(at, page_ranges(page_sizes(_t(s, d, "page_tokens"))))
+
+
+def token_windows(s, d):
+    w = _windows(s, d)
+    place = lambda p, o: page_location(F.col(f"{p}.part_index"), F.col(f"{p}.page_id"), F.col(o))
+    return w.select("book_id", "window_idx", "global_start", "global_end", place("start_page", "start_offset").alias("start_at"), place("end_page", "end_offset").alias("end_at"), _joined("lemma_ids").alias("lemmas"), _joined("root_ids").alias("roots"))
+
+
+def window_count(s, d):
+    return E.book_lengths(_t(s, d, "page_tokens")).select("book_id", "length", windows.window_count(F.col("length"), DEFAULT).alias("n_windows"))
+
+
+def shingles(s, d):
+    return windows.shingles(_windows(s, d), DEFAULT.ngram_size).select("book_id", "window_idx", _joined("shingle").alias("shingle"))
+
+
+def candidate_pairs(s, d):
+    return windows.candidate_pairs(_windows(s, d), DEFAULT)
+
+
+def candidate_pairs_brute(s, d):
+    pairs = windows.all_window_pairs(_stored(s, d))
+    return pairs.groupBy("book_a", "book_b").agg(F.count("*").alias("n_pairs"))
+
+
+def filter_rate(s, d):
+    w = cut(_windows(s, d))
+    return windows.filter_rate(w, windows.candidate_pairs(w, DEFAULT))
+
+
+def idf_weights(s, d):
+    return weights.lemma_weights(_pages(s, d)).select("book_id", "lemma_id", F.floor(F.col("weight").cast("double") * 1000).alias("weight_milli"))
+
+
+def quick_similarity(s, d):
+    """Neighbouring stored windows of a book with at least 10 distinct lemmas in common."""
+    w = _stored(s, d).select("book_id", "window_idx", "lemma_ids")
+    n = w.select("book_id", (F.col("window_idx") - 1).alias("window_idx"), F.col("lemma_ids").alias("next_ids"))
+    return w.join(n, ["book_id", "window_idx"]).filter(windows.quick_similarity(F.col("lemma_ids"), F.col("next_ids"), 10)).select("book_id", "window_idx")
 
 
-def oracle_sql():
-    return {}
+def _scores(mode, use_weights):
+    def run(s, d):
+        p = replace(DEFAULT, mode=mode, use_weights=use_weights, no_filters=True)
+        pages = _pages(s, d)
+        w = cut(windows.token_windows(weights.weighted_pages(pages), p, ("lemma_ids", "root_ids", "weights")) if use_weights else windows.token_windows(pages, p))
+        al = window_alignments(windows.candidate_pairs(w, p), w, p)
+        return al.select("book_a", "widx_a", "book_b", "widx_b", "score", "pairs", "lemma_matches", "substitutions", "root_only_matches", "gaps")
+
+    return run
+
+
+sw_score_lemma = _scores("lemma", False)
+sw_score_root = _scores("root", False)
+sw_score_combined = _scores("combined", False)
+sw_score_weighted = _scores("combined", True)
+
+
+def alignment_edges(s, d):
+    c = compare(_t(s, d, "page_tokens"), _t(s, d, "token_definitions"))
+    return c.raw
+
+
+def compare_books(s, d):
+    c = compare(_t(s, d, "page_tokens"), _t(s, d, "token_definitions"))
+    return c.edges
+
+
+def compare_summary(s, d):
+    return compare(_t(s, d, "page_tokens"), _t(s, d, "token_definitions")).summary
+
+
+def edge_metrics(s, d):
+    """The metrics that follow from the stored counts, in millionths."""
+    e = _edges(s, d).dropna(subset=["lemma_matches", "substitutions", "root_only_matches", "gaps", "aligned_length"])
+    m = E.with_metrics(e.select("id", (F.col("aligned_length") - F.col("gaps")).alias("pairs"), "gaps", "lemma_matches", "substitutions", "root_only_matches", F.lit(0).cast("float").alias("match_weight_sum"), F.col("lemma_matches").alias("unique_lemmas")))
+    return m.select("id", "aligned_length", *(_ppm(c) for c in ("core_similarity", "span_coverage", "lemma_similarity", "combined_similarity")))
+
+
+def merged_edges(s, d):
+    return E.merge_edges(_edges(s, d)).select("id", "source_book_id", "target_book_id", *(f"{x}_global_{e}" for x in ("source", "target") for e in ("start", "end")), "aligned_length", "lemma_matches", "gaps")
+
+
+def adjacent_merge(s, d):
+    return E.merge_adjacent_edges(_edges(s, d), 10).select("id", "source_book_id", "target_book_id", *(f"{x}_global_{e}" for x in ("source", "target") for e in ("start", "end")), "aligned_length")
+
+
+def subsumed_removal(s, d):
+    return E.remove_subsumed_edges(_edges(s, d)).select("id")
+
+
+def filtered_edges(s, d):
+    return E.filter_edges(_edges(s, d), DEFAULT).select("id")
+
+
+def coverage(s, d):
+    c = E.coverage(_whole(s, d), E.book_lengths(_t(s, d, "page_tokens")))
+    return c.select("book_a", "book_b", "covered_a", "covered_b", _ppm("coverage_a"), _ppm("coverage_b"))
+
+
+def _whole(s, d):
+    return _edges(s, d).dropna(subset=["source_book_id", "target_book_id", "source_global_start", "source_global_end", "target_global_start", "target_global_end"])
+
+
+def comparison_summary(s, d):
+    out = E.summarize(_whole(s, d), E.book_lengths(_t(s, d, "page_tokens")))
+    return out.select("book_a", "book_b", "edge_count", "total_aligned_tokens", "covered_a", "covered_b")
+
+
+def exact_places(s, d):
+    e = E.exact_places(_whole(s, d), _t(s, d, "page_tokens"))
+    at = lambda x: F.concat_ws(".", F.concat_ws(":", F.col(f"{x}_page_exact.part_index").cast("string"), F.col(f"{x}_page_exact.page_id").cast("string")), F.col(f"{x}_offset_exact").cast("string")).alias(x)
+    return e.select("id", *(at(f"{s_}_{e_}") for s_ in ("source", "target") for e_ in ("start", "end")))
+
+
+def passages_with_context(s, d):
+    e = _whole(s, d)
+    spans = e.select(F.col("source_book_id").alias("book_id"), F.col("source_global_start").alias("start"), F.col("source_global_end").alias("end")).filter("start < end")
+    out = P.passages(spans, tokens.decoded_pages(_t(s, d, "page_tokens")), _defs(s, d), 30)
+    return out.select("book_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), *(F.col(f"text.{x}").alias(f"text_{x}") for x in ("before", "matched", "after")))
+
+
+def edge_locations(s, d):
+    e = _edges(s, d)
+    return e.select("id", *(span_location(F.col(f"{x}_start_page"), F.col(f"{x}_start_offset"), F.col(f"{x}_end_page"), F.col(f"{x}_end_offset")).alias(f"{x}_location") for x in ("source", "target")))
+
+
+def edge_labels_bands(s, d):
+    return R.with_labels(_edges(s, d).dropna(subset=[*R.BANDS])).select("id", "diversity_label", *(f"{c}_band" for c in R.BANDS))
+
+
+def viewer_search_sort(s, d):
+    """Every document's text that passes a search, shortened as the viewer does."""
+    docs = _t(s, d, "documents").filter(F.col("text").contains("chain"))
+    return docs.select("doc_id", truncate_text(F.col("text"), 100).alias("short_text"), preview(F.col("text")).alias("preview_text"))
+
+
+def viewer_filter(s, d):
+    v = R.View(min_similarity=0.5, min_length=20, min_core_similarity=0.7, min_span_coverage=0.3, min_content_weight=1.0)
+    return R.view_edges(_edges(s, d), v).select("id", "aligned_length")
+
+
+def top_edges(s, d):
+    return R.top_edges(_edges(s, d).filter("aligned_length is not null"), 25, R.View(sort_by="length"))[0].select("id", "aligned_length")
+
+
+def validation_counts(s, d):
+    """Labels after the bands: an edge of high core similarity is valid, one of low is noise."""
+    e = R.with_labels(_edges(s, d).filter("core_similarity is not null"))
+    return R.validation_counts(e.select("id", F.when(F.col("core_similarity_band") == "high", "valid").when(F.col("core_similarity_band") == "low", "noise").alias("validation")))
+
+
+def validated_export(s, d):
+    e = _whole(s, d)
+    labels = e.select("id", F.when(F.col("core_similarity") >= F.lit(0.9).cast("float"), "valid").when(F.col("core_similarity") < F.lit(0.7).cast("float"), "noise").alias("validation"))
+    nested = P.edges_with_text(e, tokens.decoded_pages(_t(s, d, "page_tokens")), _defs(s, d), 0)
+    return R.validated_export(nested, labels).select("id", "validation", "source_location", "target_location", "source_text", "target_text", "length", "lemma_matches", "gaps")
+
+
+def flat_export(s, d):
+    f = flat_edges(_edges(s, d))
+    return f.select(*f.columns[:24])
+
+
+def edge_report(s, d):
+    return _edges(s, d).dropna(subset=["lexical_diversity"]).select("id", edge_text().alias("lines"))
+
+
+def queries():
+    skip = {"queries", "oracle_sql", "compare", "cut", "replace", "decode_u32", "encode_u32", "page_location", "preview", "span_location", "truncate_text", "window_alignments", "page_ranges", "page_sizes", "edge_text", "flat_edges"}
+    return {n: f for n, f in globals().items() if callable(f) and n[0].islower() and n not in skip and getattr(f, "__module__", "") == __name__}

@@ -1 +1 @@
-
+"""Reading corpora and results."""

@@ -1 +1 @@
-
+"""Comparing pages as they arrive."""
