@@ -19,12 +19,12 @@ _TLD = r"(?:example|test|invalid)"
 _AT = r"(?: ?@ ?| ?\(at\) ?| ?\[at\] ?| at )"
 _DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )"
 _EMAIL = re.compile(rf"(?<![\w.+\-])[a-z][\w.+\-]*{_AT}(?:[a-z][a-z\-]*{_DOT})+{_TLD}(?!\w)", re.I)
-_PHONE = re.compile(r"(?<![\w+(])(?:\+ ?999|00999|\(?0\d)[\d .\-/()]*\d")
+_PHONE = re.compile(r"(?<![\w+(])(?:\+ ?999|00999|\(?0\d)[\d .\-/()]*?5[ .\-]?5[ .\-]?5[ .\-]?0[ .\-]?1[ .\-]?\d[ .\-]?\d(?!\d)")
 _ID = re.compile(r"(?<![\w\-])(?:ZZ\d\d(?: ?\d{4}){3} ?\d{0,4}(?: ?\d{1,2})?|AX\d{7}|X\d{4} ?\d{4} ?\d{3}|IDN-\d{10}|\d{4} \d{4} \d{4}|\d{3}-\d\d-\d{4}|\d{11})(?![\w\-])")
 _STREETS = (
     r"(?<![\w:.\-])(?:Flat \d+, )?\d+[A-Z]? (?:(?:Old|New|Upper|Lower|[NSEW]\.) )?[A-Z][a-z]+ (?:Street|St|Road|Rd|Lane|Ln|Row|Close|Avenue|Ave)\b",
     r"(?<![\w:.\-])\d+(?: bis| ter)?,? (?:rue|place|avenue|quai|impasse|all[eé]e|cours|boulevard|chemin) (?:de la |de |des |du |d')",
-    r"(?<![\w\-])[A-Z][a-z]+(?:str\.|strasse|straße|gasse|platz|allee|weg|damm|ufer) \d+[a-z]?(?!\w)",
+    r"(?<![\w\-])[A-ZÄÖÜ][a-zäöüß]+(?:str\.|strasse|straße|gasse|platz|allee|weg|damm|ufer) \d+[a-z]?(?!\w)",
     r"(?<!\w)(?:شارع [ء-ي]+ \d+|زقاق [ء-ي]+[،,] بيت \d+|(?<![\d.])\d+ (?:شارع|زقاق) [ء-ي]+)",
 )
 _ADDRESS = re.compile("|".join(_STREETS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import components, distinctive, frequency, leakage, lookalike, neardup, packing, spans, split
+from vellum.llm import components, distinctive, frequency, leakage, lookalike, neardup, packing, pii, spans, split
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -84,5 +84,13 @@ def p9_scores(s, d):
     return leakage.leaks(_t(s, d, "documents"), _t(s, d, "eval_items"))
 
 
+def p10_found(s, d):
+    return pii.find(_t(s, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(s, d):
+    return pii.redact(_t(s, d, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
