@@ -22,7 +22,7 @@ from vellum.llm.lookalike import LATIN_TWINS, TABLE
 KINDS = ["email", "phone", "idnum", "address", "name"]
 TAGS = ["O"] + [f"{x}-{k}" for k in KINDS for x in "BI"]
 #: Windows have at most WINDOW characters and share OVERLAP with the next.
-WINDOW, OVERLAP, BATCH = 320, 64, 512
+WINDOW, OVERLAP, BATCH = 640, 64, 512
 #: Characters of the alphabet; all others fall into the classes after them. The first stands for padding.
 _CHARS = "\0 \n!\"'()*+,-./:;<>?@[]_&#%=0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي،؛؟ßäöüÄÖÜéèàçêôîûâÉ—–…«»°’"
 _MARKED_LOW, _MARKED_UP, _LETTER, _OTHER = (len(_CHARS) + i for i in range(4))
@@ -74,17 +74,18 @@ def classes(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights of the network. ``W`` of each direction holds the gates' inputs of every character of the alphabet; the gates'
-    order is input, forget, output, candidate."""
+    """Weights of the network: E the characters' embeddings; per direction W, U, b with the gates input, forget, output,
+    candidate; Wo, bo the emissions; the transitions leave[p] + enter[q] from any tag to O or a B tag, and begin[k], go[k] from
+    B and I to I of one kind."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
-        self.hidden = weights["Uf"].shape[0]
-        h = self.hidden
+        h = self.hidden = weights["Uf"].shape[0]
         half = np.ones(4 * h, np.float32)
         half[: 3 * h] = 0.5  # a sigmoid is a tanh of half its argument
-        self.table = [np.ascontiguousarray((weights["E"] @ weights[f"W{d}"] + weights[f"b{d}"]) * half).astype(np.float32) for d in "fb"]
-        self.u = [np.ascontiguousarray(weights[f"U{d}"] * half).astype(np.float32) for d in "fb"]
+        by_gate = lambda m: np.ascontiguousarray((m * half).astype(np.float32).reshape(-1, 4, h).transpose(1, 0, 2))
+        self.table = [by_gate(weights["E"] @ weights[f"W{d}"] + weights[f"b{d}"]) for d in "fb"]
+        self.u = [by_gate(weights[f"U{d}"]) for d in "fb"]
 
     @classmethod
     def load(cls, path: str | Path | None = None) -> Model:
@@ -92,58 +93,78 @@ class Model:
             return cls({k: z[k] for k in z.files})
 
     def emissions(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Scores (time, row, tag) of padded windows ``ids`` (row, time)."""
+        """Scores (time, tag, row) of padded windows ``ids`` (row, time)."""
         rows, time = ids.shape
-        h4, out = 4 * self.hidden, np.empty((time, rows, len(TAGS)), np.float32)
-        out[:] = self.w["bo"]
+        n, out = self.hidden, np.empty((time, len(TAGS), rows), np.float32)
+        out[:] = self.w["bo"][:, None]
         x = np.ascontiguousarray(ids.T)
-        alive = (np.arange(time)[:, None] < size[None, :]).astype(np.float32)[:, :, None]
+        shortest = int(size.min())
         for d in (0, 1):
-            h, c = np.zeros((rows, self.hidden), np.float32), np.zeros((rows, self.hidden), np.float32)
-            z, t = np.empty((rows, h4), np.float32), np.empty((rows, h4), np.float32)
-            n, proj = self.hidden, np.ascontiguousarray(self.w["Wo"][d * self.hidden : (d + 1) * self.hidden])
+            h, c = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
+            z, t = np.empty((4, rows, n), np.float32), np.empty((4, rows, n), np.float32)
+            table, u, proj = self.table[d], self.u[d], np.ascontiguousarray(self.w["Wo"][d * n : (d + 1) * n].T)
+            gate, (i, f, o, q) = z[:3], z
             for k in range(time) if d == 0 else range(time - 1, -1, -1):
-                np.take(self.table[d], x[k], axis=0, out=z, mode="clip")
-                np.matmul(h, self.u[d], out=t)
+                for g in range(4):
+                    np.take(table[g], x[k], axis=0, out=z[g], mode="clip")
+                np.matmul(h, u, out=t)
                 z += t
                 np.tanh(z, out=z)
-                s = z[:, : 3 * n]
-                s *= 0.5
-                s += 0.5
-                c *= s[:, n : 2 * n]
-                c += s[:, :n] * z[:, 3 * n :]
+                gate *= 0.5
+                gate += 0.5
+                c *= f
+                np.multiply(i, q, out=q)
+                c += q
                 np.tanh(c, out=h)
-                h *= s[:, 2 * n :]
-                if d:  # the backward state starts at each row's end
-                    h *= alive[k]
-                    c *= alive[k]
-                out[k] += h @ proj
+                h *= o
+                if d and k >= shortest:  # the backward state starts at each row's end
+                    past = size <= k
+                    h[past] = 0
+                    c[past] = 0
+                out[k] += proj @ h.T
         return out
 
     def viterbi(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Best tags (row, time). Rows in which no tag can beat O anywhere are O without decoding."""
-        time, rows, _ = e.shape
-        trans, out = self.w["T"], np.zeros((rows, time), np.uint8)
-        gain = trans.max() - trans[0, 0] + max(0.0, float((self.w["S"] - self.w["S"][0]).max()))
-        alive = np.arange(time)[:, None] < size[None, :]
-        open_ = np.flatnonzero((((e[:, :, 1:].max(2) - e[:, :, 0]) + gain > 0) & alive).any(0))
-        if not len(open_):
-            return out
-        e, size = e[:, open_], size[open_]
-        score, back = e[0] + self.w["S"], np.zeros((time, len(open_), len(TAGS)), np.uint8)
-        tt = np.ascontiguousarray(trans.T)[None]
-        for k in range(1, time):
-            s = score[:, None, :] + tt
-            back[k] = s.argmax(2)
-            now = np.take_along_axis(s, back[k][:, :, None].astype(np.int64), 2)[:, :, 0] + e[k]
-            score = np.where((k < size)[:, None], now, score)
-        tag, line = score.argmax(1), np.arange(len(open_))
+        """Best tags (row, time). As O and B tags follow any tag at a price of two parts, one maximum serves all of them."""
+        time, _, rows = e.shape
+        leave, enter = self.w["leave"][:, None], self.w["enter"][:, None]
+        begin, go = self.w["begin"][:, None], self.w["go"][:, None]
+        came, stay = np.zeros((time, rows), np.uint8), np.zeros((time, len(KINDS), rows), bool)
+        score = np.full((len(TAGS), rows), -1e4, np.float32)
+        score[0] = self.w["S"][0] + e[0, 0]
+        score[1::2] = self.w["S"][1::2, None] + e[0, 1::2]
+        final, last = np.empty(rows, np.intp), size - 1
+        ends = [np.flatnonzero(last == k) for k in range(time)]
+        for k in range(time):
+            if k:
+                out = score + leave
+                came[k] = out.argmax(0)
+                top = out.max(0)
+                a, b = score[1::2] + begin, score[2::2] + go
+                np.greater(b, a, out=stay[k])
+                now = np.empty_like(score)
+                now[2::2] = np.maximum(a, b)
+                now[0] = top + enter[0]
+                now[1::2] = top + enter[1:]
+                now += e[k]
+                score = now
+            if len(ends[k]):
+                final[ends[k]] = score[:, ends[k]].argmax(0)
+        tags, tag, line = np.zeros((time, rows), np.uint8), np.zeros(rows, np.intp), np.arange(rows)
         for k in range(time - 1, -1, -1):
-            inside = k < size
-            out[open_[inside], k] = tag[inside]
+            if len(ends[k]):
+                tag[ends[k]] = final[ends[k]]
+            live = tag.any()
+            if live:
+                tags[k] = np.where(k < size, tag, 0)
             if k:
-                tag = np.where(inside, back[k][line, tag], tag)
-        return out
+                back = came[k].astype(np.intp)
+                if live:
+                    inside = (tag > 0) & (tag % 2 == 0)
+                    kind = np.maximum(tag - 1, 0) // 2
+                    back = np.where(inside, np.where(stay[k][kind, line], tag, tag - 1), back)
+                tag = np.where(k < size, back, 0)
+        return np.ascontiguousarray(tags.T)
 
     def tag(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The tags of the characters of each document."""

@@ -58,7 +58,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         if "55501" in d and 9 <= len(d) <= 15:
             add("phone", m.start(), m.end())
     for m in _ID.finditer(s):
-        if not re.search(r"(ISBN|acc\W*no\W*|MS|shelf\W*|Signatur|Cote|number)\W*$", s[max(0, m.start() - 14) : m.start()]) or "national number" in s[max(0, m.start() - 20) : m.start()]:
+        if not re.search(r"(ISBN|acc\W*no|MS|shelf|Signatur|Cote|Call number)\W*$", s[max(0, m.start() - 14) : m.start()]):
             add("idnum", m.start(), m.end())
     for m in _ADDRESS.finditer(s):
         end = m.end()
@@ -72,4 +72,4 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if s[a : a + 3] == "M. " and s[m.end() : m.end() + 9] == " signale ":
                 a += 3
             add("name", a, m.end())
-    return sorted((k, int(at[a]), int(at[b - 1]) + 1) for k, a, b in out)
+    return sorted(((k, int(at[a]), int(at[b - 1]) + 1) for k, a, b in out), key=lambda x: x[1])

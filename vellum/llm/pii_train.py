@@ -7,22 +7,75 @@ from the forward-backward marginals and goes back through time in both direction
 
 from __future__ import annotations
 
+import re
 import sys
 import time
 
 import numpy as np
 
 from vellum.llm.pii import ALPHABET, KINDS, TAGS, Model, classes, found
-from vellum.llm.pii_labels import spans
+from vellum.llm.pii_labels import _ARABIC, _FIRST_END, _FORE, _LAST_END, spans
 
 LENGTH = 224
+FORBIDDEN = -100.0
 
 
-def labelled(text: str) -> tuple[np.ndarray, np.ndarray]:
+_ARABIC_WORD, _NAME_WORD = re.compile("[ء-ي]{2,}"), re.compile("[A-Za-z]{3,}|[ء-ي]{4,}")
+_LETTERS = "ابتثجحخدذرزسشصضطظعغفقكلمنهويةأإئ"
+_LATIN = [a + b for a in "bcdfghjklmnprstvwyz" for b in ("an", "el", "ir", "os", "un", "a", "e", "i", "o", "ar", "en", "ol")]
+
+
+def _word(rng, arabic: bool, upper: bool) -> str:
+    """A name of syllables, known ones or others."""
+    if arabic:
+        pool = _ARABIC if rng.random() < 0.95 else [a + b for a in _LETTERS[1:28] for b in "اين"]
+        return "".join(rng.choice(pool, int(rng.integers(2, 4)))) + str(rng.choice(["", "ن", "ي", "ان", "ين", "ون", "ا"]))
+    known = rng.random() < 0.85
+    pool = [x.lower() for x in _FORE] if known else _LATIN
+    end = _LAST_END if rng.random() < 0.5 else _FIRST_END
+    w = "".join(rng.choice(pool, int(rng.integers(1, 3)))) + (str(rng.choice(end)) if known else str(rng.choice(["", "s", "n", "son", "berg", "ic", "er"])))
+    return w.upper() if upper else w.capitalize()
+
+
+def varied(text: str, rng) -> tuple[str, list[tuple[str, int, int]]]:
+    """A text with other names, digits and Arabic words around, and its spans there."""
+    filler = rng.random() < 0.5
+    out, found_, at, pos = [], [], 0, 0
+
+    def put(s):
+        nonlocal pos
+        out.append(s)
+        pos += len(s)
+
+    def gap(s):
+        # words near a span are its context and stay
+        near = 18
+        if filler and len(s) > 2 * near:
+            mid = _ARABIC_WORD.sub(lambda m: "".join(rng.choice(list(_LETTERS), int(rng.integers(2, 10)))) if rng.random() < 0.5 else m.group(), s[near:-near])
+            s = s[:near] + mid + s[-near:]
+        put(s)
+
+    for kind, a, b in spans(text):
+        gap(text[at:a])
+        s = text[a:b]
+        if kind == "name" and rng.random() < 0.5:
+            s = _NAME_WORD.sub(lambda m: _word(rng, m.group()[0] >= "ء", m.group().isupper()), s)
+        elif kind == "idnum":
+            s = re.sub("[0-9]", lambda m: str(rng.integers(0, 10)), s)
+        found_.append((kind, pos, pos + len(s)))
+        put(s)
+        at = b
+    gap(text[at:])
+    done = "".join(out)
+    up = done.upper()
+    return (up if rng.random() < 0.05 and len(up) == len(done) else done), found_
+
+
+def labelled(text: str, known: list[tuple[str, int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The classes of a text's characters and their tags."""
     ids, at = classes(text)
     tags = np.zeros(len(ids), np.int64)
-    for kind, a, b in spans(text):
+    for kind, a, b in spans(text) if known is None else known:
         x, y = np.searchsorted(at, a), np.searchsorted(at, b)
         k = 1 + 2 * KINDS.index(kind)
         tags[x:y] = k + 1
@@ -30,11 +83,11 @@ def labelled(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int64), tags
 
 
-def windows(texts, negatives: float, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded training windows (ids, tags, size)."""
+def windows(texts, negatives: float, rng, copies: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Padded training windows (ids, tags, size) of the texts and of ``copies`` variations of each."""
     rows = []
-    for t in texts:
-        ids, tags = labelled(t)
+    for t, known in ((t, None) if not k else varied(t, rng) for t in texts for k in range(copies + 1)):
+        ids, tags = labelled(t, known)
         for a in range(-int(rng.integers(0, LENGTH // 2)), len(ids), LENGTH * 3 // 4):
             lo, hi = max(0, a), min(len(ids), a + LENGTH)
             if hi - lo >= 8 and (tags[lo:hi].any() or rng.random() < negatives):
@@ -51,21 +104,28 @@ def windows(texts, negatives: float, rng) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def start(hidden: int, embed: int, rng) -> dict[str, np.ndarray]:
-    w = {"E": rng.normal(0, 0.3, (ALPHABET, embed)), "Wo": rng.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, len(TAGS))), "bo": np.zeros(len(TAGS)), "T": rng.normal(0, 0.1, (len(TAGS),) * 2), "S": np.zeros(len(TAGS))}
+    w = {"E": rng.normal(0, 0.3, (ALPHABET, embed)), "Wo": rng.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, len(TAGS))), "bo": np.zeros(len(TAGS)), "leave": np.zeros(len(TAGS)), "enter": np.zeros(1 + len(KINDS)), "begin": np.zeros(len(KINDS)), "go": np.zeros(len(KINDS)), "S": np.zeros(len(TAGS))}
     for d in "fb":
         w[f"W{d}"] = rng.normal(0, 1 / np.sqrt(embed), (embed, 4 * hidden))
         w[f"U{d}"] = np.concatenate([np.linalg.qr(rng.normal(size=(hidden, hidden)))[0] for _ in range(4)], 1)
         w[f"b{d}"] = np.zeros(4 * hidden)
         w[f"b{d}"][hidden : 2 * hidden] = 1
-    for i, a in enumerate(TAGS):
-        for j, b in enumerate(TAGS):
-            if b[0] == "I" and a[2:] != b[2:]:
-                w["T"][i, j] = -100  # an inside tag follows only its own kind
-        if a[0] == "I":
-            w["S"][i] = -100
+    w["S"][2::2] = FORBIDDEN  # no text starts inside a span
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
+_OUT = [0, *range(1, len(TAGS), 2)]  # O and the B tags
+
+
+def transitions(w) -> np.ndarray:
+    """The full matrix (from, to) of the structured transitions."""
+    t = np.full((len(TAGS),) * 2, FORBIDDEN, w["S"].dtype)
+    t[:, _OUT] = w["leave"][:, None] + w["enter"][None, :]
+    for k in range(len(KINDS)):
+        t[1 + 2 * k, 2 + 2 * k], t[2 + 2 * k, 2 + 2 * k] = w["begin"][k], w["go"][k]
+    return t
+
+
 def _sig(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -157,9 +217,9 @@ def step(w, x, y, size):
         out.append(np.take_along_axis(kept[d][1][1:], orders[d].T[:, :, None], 0))
     hid = np.concatenate(out, 2)
     e = hid @ w["Wo"] + w["bo"]
-    loss, de, dt, ds = crf(e, y.T, size, w["T"], w["S"])
+    loss, de, dt, ds = crf(e, y.T, size, transitions(w), w["S"])
     de = de.astype(np.float32)
-    g = {"Wo": hid.reshape(-1, 2 * n).T @ de.reshape(-1, len(TAGS)), "bo": de.sum((0, 1)), "T": dt * (w["T"] > -50), "S": ds * (w["S"] > -50), "E": np.zeros_like(w["E"])}
+    g = {"Wo": hid.reshape(-1, 2 * n).T @ de.reshape(-1, len(TAGS)), "bo": de.sum((0, 1)), "S": ds * (w["S"] > FORBIDDEN / 2), "leave": dt[:, _OUT].sum(1), "enter": dt[:, _OUT].sum(0), "begin": np.diagonal(dt, 1)[1::2].copy(), "go": np.diagonal(dt)[2::2].copy(), "E": np.zeros_like(w["E"])}
     dh = de @ w["Wo"].T
     for k, d in enumerate("fb"):
         ids, h, c, gates, tc = kept[d]
