@@ -35,7 +35,7 @@ def token_windows(pages: DataFrame, p: Params, columns: tuple[str, ...] = ("lemm
     overlaps, and a window's slices are joined, so that a task never holds more than windows. Pages without tokens are in no
     window.
     """
-    sized = pages.withColumn("n", F.size(columns[0]).cast("bigint")).filter("n > 0")
+    sized = pages.select(*KEY, *columns).withColumn("n", F.size(columns[0]).cast("bigint")).filter("n > 0")
     ranges = page_ranges(sized.select(*KEY, "n"))
     lengths = ranges.groupBy("book_id").agg(F.sum("n").alias("length"))
     r = ranges.join(lengths, "book_id").select(*(F.col(k).alias(f"r_{k}") for k in KEY), "page_start", "page_end", "length")

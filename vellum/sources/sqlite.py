@@ -1,20 +1,20 @@
 """A Spark data source over SQLite files, read only.
 
 ``spark.dataSource.register(SqliteSource)``, then ``spark.read.format("sqlite").option("table", "page_tokens").load(path)``.
-Rows are read in ranges of rowid, ``partitions`` of them; filters on columns go into the query.
+Rows are read in ranges of rowid, ``partitions`` of them; the option ``book_id`` leaves the choice of a book to SQLite. (Filters
+are not pushed down: what one query of a DataFrame pushes would stay with the source for the next.)
 """
 
 from __future__ import annotations
 
 import sqlite3
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from vellum.errors import CorpusError
 
 _TYPES = {"INT": "bigint", "CHAR": "string", "TEXT": "string", "CLOB": "string", "BLOB": "binary", "REAL": "double", "FLOA": "double", "DOUB": "double"}
-_OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 def _connect(path: str):
@@ -34,16 +34,8 @@ class _Range(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, schema: StructType, partitions: int):
-        self.path, self.table, self.schema, self.n, self.where = path, table, schema, partitions, []
-
-    def pushFilters(self, filters):
-        """Comparisons of a column with a number or a string are left to SQLite."""
-        for f in filters:
-            if type(f) in _OPS and len(f.attribute) == 1 and isinstance(f.value, int | float | str):
-                self.where.append((f"{_name(f.attribute[0])} {_OPS[type(f)]} ?", f.value))
-            else:
-                yield f
+    def __init__(self, path: str, table: str, schema: StructType, partitions: int, book: int | None):
+        self.path, self.table, self.schema, self.n, self.book = path, table, schema, partitions, book
 
     def partitions(self):
         with _connect(self.path) as db:
@@ -55,9 +47,11 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition):
         columns = ", ".join(_name(f.name) for f in self.schema.fields)
-        where = " and ".join(["rowid between ? and ?", *(w for w, _ in self.where)])
+        where, values = "rowid between ? and ?", [partition.low, partition.high]
+        if self.book is not None:
+            where, values = where + " and book_id = ?", [*values, self.book]
         with _connect(self.path) as db:
-            yield from db.execute(f"select {columns} from {_name(self.table)} where {where}", (partition.low, partition.high, *(v for _, v in self.where)))
+            yield from db.execute(f"select {columns} from {_name(self.table)} where {where}", values)
 
 
 class SqliteSource(DataSource):
@@ -74,9 +68,10 @@ class SqliteSource(DataSource):
         return ", ".join(f"`{c[1]}` {kind(c[2])}" for c in info)
 
     def reader(self, schema):
-        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", 8)))
+        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", 8)), int(self.options["book_id"]) if "book_id" in self.options else None)
 
 
-def read_table(spark, path: str, table: str, partitions: int = 8):
+def read_table(spark, path: str, table: str, partitions: int = 8, book_id: int | None = None):
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
+    read = spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions)
+    return (read if book_id is None else read.option("book_id", book_id)).load()
