@@ -2,6 +2,42 @@
 
 from __future__ import annotations
 
+_PAGES = "pages as (select book_id, part_index, page_id, any_value(token_ids) as t from page_tokens group by all)"
+_TOKS = """toks as (select book_id, part_index, page_id, i as pos, cast('0x' || substr(h, 8*i+7, 2) || substr(h, 8*i+5, 2) || substr(h, 8*i+3, 2) || substr(h, 8*i+1, 2) as bigint) as token_id
+ from (select book_id, part_index, page_id, hex(t) as h, unnest(range(octet_length(t) // 4)) as i from pages where octet_length(t) % 4 = 0))"""
+_DEFS = "defs as (select id as token_id, any_value(lemma_id) as lemma_id, any_value(root_id) as root_id from token_definitions where id is not null group by id)"
+_COUNTS = f"""{_PAGES}, {_TOKS}, {_DEFS}, occ as (select 'lemma' as kind, lemma_id as term_id, book_id, part_index, page_id from toks join defs using (token_id) where lemma_id <> 0
+ union all select 'root', root_id, book_id, part_index, page_id from toks join defs using (token_id) where root_id <> 0),
+ cnt as (select kind, term_id, count(*) as occurrences, count(distinct (book_id, part_index, page_id)) as pages from occ group by all),
+ known as (select distinct 'lemma' as kind, lemma_id as term_id from token_definitions where lemma_id <> 0 union select distinct 'root', root_id from token_definitions where root_id <> 0),
+ marked as (select kind, term_id, coalesce(occurrences, 0) as occurrences, coalesce(pages, 0) as pages, case when occurrences is null then 'unseen' when occurrences <= 2 then 'rare' when pages * 1000 > (select count(*) from pages) * 300 then 'common' end as mark from known left join cnt using (kind, term_id))"""
+_RUNS = f"""{_PAGES}, {_TOKS}, seq as (select book_id, part_index, page_id, list(token_id order by pos) as l from toks group by all),
+ runs as (select book_id, part_index, page_id, i - 1 as pos, array_to_string(l[i:i+23], ',') as x from (select *, unnest(range(1, len(l) - 22)) as i from seq where len(l) >= 24)),
+ shared as (select x from runs group by x having count(distinct (book_id, part_index, page_id)) > 1), hit as (select r.* from runs r join shared using (x)),
+ isle as (select *, sum(o) over (partition by book_id, part_index, page_id order by pos) as k from (select book_id, part_index, page_id, pos, case when pos <= lag(pos) over (partition by book_id, part_index, page_id order by pos) + 24 then 0 else 1 end as o from hit)),
+ spans as (select book_id, part_index, page_id, min(pos) as span_start, max(pos) + 24 as span_end from isle group by book_id, part_index, page_id, k)"""
+
+
+def _near(column: str, least: int) -> str:
+    return f"""select a.book_id as book_id_a, a.part_index as part_index_a, a.page_id as page_id_a, b.book_id as book_id_b, b.part_index as part_index_b, b.page_id as page_id_b
+ from s a join s b on (a.book_id, a.part_index, a.page_id) < (b.book_id, b.part_index, b.page_id) and len(a.{column}) * 100 >= {least} * len(b.{column}) and len(b.{column}) * 100 >= {least} * len(a.{column})
+ where len(list_intersect(a.{column}, b.{column})) * 100 >= {least} * (len(a.{column}) + len(b.{column}) - len(list_intersect(a.{column}, b.{column}))) and len(a.{column}) > 0"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    clean = lambda c: f"list_distinct(list_filter(coalesce(any_value({c}), []), lambda x: x <> 0))"
+    return {
+        "p1_found": """with recursive e as (select distinct source_book_id as a, source_global_start as b, target_book_id as c, target_global_start as d from edges where source_book_id is not null and source_global_start is not null and target_book_id is not null and target_global_start is not null),
+ link as (select (a, b) as u, (c, d) as v from e union select (c, d), (a, b) from e), reach as (select u as s, u as t from link union select r.s, l.v from reach r join link l on l.u = r.t)
+ select s[1] as book_id, s[2] as global_start, min(t)[1] as group_book_id, min(t)[2] as group_global_start from reach group by s""",
+        "p2_found": f"with {_PAGES}, {_TOKS}, {_DEFS}, tf as (select book_id, lemma_id, count(*) as tf from toks join defs using (token_id) where lemma_id <> 0 group by all) select book_id, lemma_id from tf where tf >= 6 and lemma_id in (select lemma_id from tf group by 1 having count(*) between 2 and 3)",
+        "p3_found": f"with {_COUNTS} select kind, term_id, mark from marked where mark in ('rare', 'common')",
+        "p3_counts": f"with {_COUNTS} select kind, term_id, occurrences, pages, mark from marked",
+        "p4_found": f"with {_RUNS} select * from spans",
+        "p5_found": f"""with recursive {_PAGES}, sizes as (select book_id, part_index, page_id, case when octet_length(t) % 4 = 0 then octet_length(t) // 4 else 0 end as n from (select book_id, part_index, page_id, coalesce(t, ''::blob) as t from pages)),
+ br as (select distinct book_id, (sum(n) over (partition by book_id order by part_index, page_id) - n)::bigint as b from sizes), w as (select book_id, window_idx, any_value(global_start) as s, any_value(global_end) as e from windows where len(lemma_ids) > 400 and root_ids is not null group by all),
+ p as (select book_id, window_idx, 0 as piece_no, s as piece_start, case when e - s <= 400 then e else coalesce((select max(b) from br where br.book_id = w.book_id and b > s + 40 and b <= s + 400), s + 400) end as piece_end, e from w
+ union all select book_id, window_idx, piece_no + 1, piece_end - 40, case when e - piece_end + 40 <= 400 then e else coalesce((select max(b) from br where br.book_id = p.book_id and b > p.piece_end and b <= p.piece_end + 360), p.piece_end + 360) end, e from p where piece_end < e)
+ select book_id, window_idx, piece_no::bigint as piece_no, piece_start, piece_end from p""",
+        "p7_found": f"with s as (select book_id, part_index, page_id, {clean('lemma_ids')} as l, {clean('root_ids')} as r from page_lemmas where len(lemma_ids) >= 30 group by all) {_near('l', 70)} union {_near('r', 80)}",
+    }
