@@ -112,7 +112,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS,
     no other text is cut. Null texts are no items. Rows with the same id are items of their own. Texts are not moved.
     """
     size = (F.octet_length(text) + 1).cast("bigint")
-    sized = documents.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), size.alias("size"), F.xxhash64(key, F.monotonically_increasing_id()).alias("spread"))
+    sized = documents.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), size.alias("size"))
     hist = sized.filter(f"size % {capacity} > 0").groupBy(F.expr(f"size % {capacity}").alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()  # at most ``capacity`` rows
     sizes, counts = (np.array([r[i] for r in hist], np.int64) for i in (0, 1))
     spark = documents.sparkSession
@@ -123,7 +123,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS,
     last = max((r[3] + (r[2] - r[1]) // r[4] for r in runs), default=0)
     salts = int(np.clip(per.sum() // 2_000_000, 64, 4096)) if len(per) else 64
     small = sized.withColumn("s", F.expr(f"size % {capacity}")).filter("s > 0")
-    small = small.withColumn("bucket", F.expr("case " + " ".join(f"when s <= {int(x)} then {i}L" for i, x in enumerate(bounds)) + " end") if len(bounds) <= 16 else _bucket_of("s", bounds)) if len(bounds) else small.withColumn("bucket", F.lit(0).cast("bigint"))
+    small = small.withColumn("bucket", _bucket_of("s", bounds) if len(bounds) else F.lit(0).cast("bigint"))
     # ids repeat at most as rows repeat, so a salt of the id spreads a bucket that holds a third of all items
     small = small.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)))
     offset = np.zeros(max(1, len(bounds)) * salts, np.int64)
