@@ -27,6 +27,8 @@ BITS = 23
 #: probability of 1 - (1 - q)^n, q = 0.61 * 0.7^2 = 0.30 and 0.805 * 0.8^2 = 0.51: misses of 2e-5 and 3e-5.
 SEGMENTS = {0.7: 30, 0.8: 15}
 SKETCH = 128
+#: Sets fingerprinted at once; each has some 200 keys and 1,000 min-hashes.
+ROWS = 1000
 #: Standard deviations of the sketch's distance that a pair at the bound may lie off.
 SLACK = 5.0
 
@@ -101,7 +103,7 @@ def _fingerprints(bound: float, seed: int):
     segments = SEGMENTS[bound]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids, values, n = batch.column("rep"), *unlist(batch.column("ids"))
             if not len(ids):
                 continue
