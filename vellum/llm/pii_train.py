@@ -83,7 +83,7 @@ def labelled(text: str, known: list[tuple[str, int, int]] | None = None) -> tupl
     return ids.astype(np.int64), tags
 
 
-def windows(texts, negatives: float, rng, copies: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts, negatives: float, rng, copies: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Padded training windows (ids, tags, size) of the texts and of ``copies`` variations of each."""
     rows = []
     for t, known in ((t, None) if not k else varied(t, rng) for t in texts for k in range(copies + 1)):
@@ -236,10 +236,10 @@ def step(w, x, y, size):
     return loss, g
 
 
-def train(texts, hidden=24, embed=16, epochs=24, batch=96, rate=8e-3, negatives=0.12, seed=1, minutes=1e9, log=print, save=None):
+def train(texts, hidden=24, embed=16, epochs=24, batch=96, rate=8e-3, negatives=0.12, copies=3, seed=1, minutes=1e9, log=print, save=None):
     """Weights fitted to ``texts``. Training ends after ``epochs``, or by the schedule earlier if ``minutes`` run out."""
     rng = np.random.default_rng(seed)
-    x, y, size = windows(texts, negatives, rng)
+    x, y, size = windows(texts, negatives, rng, copies)
     w = start(hidden, embed, rng)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     log(f"{len(x)} windows, {(y > 0).any(1).sum()} with spans")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.cut import cut
 from vellum.llm import components, distinctive, frequency, leakage, lookalike, neardup, packing, pii, spans, split
 
 
@@ -66,6 +67,7 @@ def p7_found(s, d):
 def p7_groups(s, d):
     """Each page with its class, its group of linked classes and the number of its class's links."""
     members, links = neardup.near_pages(_t(s, d, "page_lemmas"))
+    links = cut(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     group = components.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("v").alias("rep"), "root")
     out = members.join(group, "rep", "left").join(ends, "rep", "left")
