@@ -22,7 +22,7 @@ from vellum.llm.lookalike import LATIN_TWINS, TABLE
 KINDS = ["email", "phone", "idnum", "address", "name"]
 TAGS = ["O"] + [f"{x}-{k}" for k in KINDS for x in "BI"]
 #: Windows have at most WINDOW characters and share OVERLAP with the next.
-WINDOW, OVERLAP, BATCH = 640, 64, 512
+WINDOW, OVERLAP, BATCH = 1280, 64, 512
 #: Characters of the alphabet; all others fall into the classes after them. The first stands for padding.
 _CHARS = "\0 \n!\"'()*+,-./:;<>?@[]_&#%=0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي،؛؟ßäöüÄÖÜéèàçêôîûâÉ—–…«»°’"
 _MARKED_LOW, _MARKED_UP, _LETTER, _OTHER = (len(_CHARS) + i for i in range(4))
