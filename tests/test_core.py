@@ -14,6 +14,7 @@ from vellum.operators import stats, tokens, weights, windows
 from vellum.operators.passages import edges_with_text, passages
 from vellum.operators.positions import page_ranges, page_sizes
 from vellum.params import Params
+from vellum.plans import catalogue
 from vellum.plans.compare import compare, compare_lemmas
 from vellum.schemas import COUNTS, EDGE_COLUMNS, EDGES, METRICS, PAGE_TOKENS, TOKEN_DEFINITIONS
 from vellum.sinks.files import edges_report, flat_edges, flat_edges_with_text, result_header, summary_report, write_csv_file, write_result_file
@@ -295,3 +296,14 @@ def test_stream(spark, corpus, tmp_path):
 def test_metrics_have_single_precision(spark):
     r = E.with_metrics(spark.createDataFrame([(3, 1, 1, 1, 1, 0, 1.5)], "pairs bigint, gaps bigint, lemma_matches bigint, substitutions bigint, unique_lemmas bigint, root_only_matches bigint, match_weight_sum float")).first()
     assert r.core_similarity == 0.5 and r.span_coverage == 0.5 and math.isclose(r.weighted_similarity, 0.375) and len(COUNTS) == 5
+
+
+def test_labels_of_edges_without_metrics(spark, tmp_path):
+    full = dict(core_similarity=0.95, span_coverage=0.5, content_weight=1.6, lexical_diversity=0.8)
+    e = edges(spark, edge(1, 0, 10, **full), edge(2, 0, 10, **full | {"content_weight": None, "avg_match_weight": 2.0}), edge(3, 0, 10, **dict.fromkeys(full)), edge(4, 0, 10, **dict.fromkeys(full), lemma_similarity=None))
+    e.write.parquet(str(tmp_path / "edges.parquet"))
+    got = catalogue.edge_labels_bands(spark, str(tmp_path)).select("id", "diversity_label", *(f"{c}_band" for c in ("core_similarity", "span_coverage", "content_weight", "lexical_diversity", "lemma_similarity")))
+    assert rows(got) == [
+        (1, "substantive", "high", "medium", "high", "high", "high"), (2, "substantive", "high", "medium", "medium", "high", "high"),
+        (3, "formulaic", "high", "high", "medium", "low", "high"), (4, "formulaic", "low", "high", "medium", "low", "low"),
+    ]

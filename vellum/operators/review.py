@@ -60,9 +60,16 @@ def top_edges(edges: DataFrame, n: int, view: View | None = None) -> tuple[DataF
     return sort_edges(edges, view or View()).limit(n), max(0, edges.count() - n)
 
 
+def _shown(name: str) -> Column:
+    """The value the reference's match list bands; unlike ``_metric`` it takes a weight of 1 even where avg_match_weight is given."""
+    absent = {"core_similarity": F.col("lemma_similarity"), "span_coverage": F.lit(1).cast("float"), "content_weight": F.lit(1).cast("float"), "lexical_diversity": F.lit(0).cast("float")}
+    return F.coalesce(F.col(name), absent[name]) if name in absent else F.col(name)
+
+
 def with_labels(edges: DataFrame) -> DataFrame:
-    """Adds diversity_label and a band (high, medium, low) for each shown metric."""
-    return edges.withColumns({"diversity_label": diversity_label(F.col("lexical_diversity")), **{f"{c}_band": band(F.col(c), *b) for c, b in BANDS.items()}})
+    """Adds diversity_label and a band (high, medium, low) for each shown metric. A null metric falls back on similarity, 1, 1
+    and 0 as in the reference's match list; a null similarity is low."""
+    return edges.withColumns({"diversity_label": diversity_label(_shown("lexical_diversity")), **{f"{c}_band": band(_shown(c), *b) for c, b in BANDS.items()}})
 
 
 def validated(edges: DataFrame, labels: DataFrame) -> DataFrame:

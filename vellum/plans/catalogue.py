@@ -223,7 +223,7 @@ def edge_locations(s, d):
 
 
 def edge_labels_bands(s, d):
-    return R.with_labels(_edges(s, d).dropna(subset=[*R.BANDS])).select("id", "diversity_label", *(f"{c}_band" for c in R.BANDS))
+    return R.with_labels(_edges(s, d)).select("id", "diversity_label", *(f"{c}_band" for c in R.BANDS))
 
 
 def viewer_search_sort(s, d):
