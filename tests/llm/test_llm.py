@@ -177,6 +177,15 @@ def test_alike(a, b):
     assert lookalike.looks(a) == lookalike.looks(b)
 
 
+@pytest.mark.parametrize("s", [" abc", "abc ", " abc ", " a b", "\u00a0abc", "\tabc", "  abc", " "])
+def test_spaces_at_either_end(s):
+    assert lookalike.looks(s) == s.replace("\u00a0", " ").strip()
+
+
+def test_pair_with_leading_space(spark):
+    assert rows(lookalike.lookalike_pairs(spark.createDataFrame([(1, "abc", 1, 1, ""), (2, " abc", 1, 1, ""), (3, " abd", 1, 1, "")], TD))) == [(1, 2)]
+
+
 @pytest.mark.parametrize(("a", "b"), [("a", "A"), ("ب", "ت"), ("ا", "أ"), ("رَ", "ر"), ("ā", "a"), ("ḥ", "h"), ("بـت", "بت"), ("٣", "3"), ("۴", "٤"), ("بي", "بی"), ("كك", "کک"), ("x²", "x2")])
 def test_not_alike(a, b):
     assert lookalike.looks(a) != lookalike.looks(b)

@@ -55,7 +55,7 @@ def _table() -> dict[int, str | None]:
 
 TABLE = _table()
 TWINS = str.maketrans(LATIN_TWINS | DIGIT_TWINS)
-_PLAIN = re.compile(r"[!-~]*(?: [!-~]+)*\Z")
+_PLAIN = re.compile(r"(?:[!-~]+(?: [!-~]+)*)?\Z")
 _IN_PLACE = re.compile("[یىکە]")
 
 
