@@ -289,6 +289,55 @@ def test_leaks(spark):
     assert leakage.leaks(d.filter("false"), i).count() == leakage.leaks(d, i.filter("false")).count() == 0
 
 
+def test_leaks_of_edited_copies(spark):
+    rng = random.Random(5)
+    w = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(k)]
+    texts = [w(40) for _ in range(4)]
+    docs = []
+    for every in (3, 5, 6, 7, 8, 9, 10, 11):
+        for shift in range(0, every, 2):
+            t = texts[every % 4]
+            docs.append(w(30) + [w(1)[0] if (k + shift) % every == 0 else x for k, x in enumerate(t)][: rng.randrange(8, 40)] + w(30))
+    docs += [w(20) + t[10:15] + w(20) + t[20:26] + w(300) + t[:9] for t in texts]
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "item_id bigint, text string")
+    number = {x: k for k, x in enumerate(sorted({x for t in [*docs, *texts] for x in t}))}
+    coded = lambda x: np.array([number[y] for y in x], np.uint64)
+    fives = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+    want = []
+    for k, x in enumerate(docs):
+        for m, y in enumerate(texts):
+            score = leakage.align(coded(y), coded(x))
+            if fives(x) & fives(y) and score >= 20:
+                want.append((k, m, score, leakage.longest_run(coded(y), coded(x))))
+    assert sum(r < 10 for *_, r in want) > 10
+    assert rows(leakage.leaks(d, i, edited=True)) == sorted(want, key=repr)
+    assert rows(leakage.leaks(d, i, edited=True).filter("run >= 10")) == rows(leakage.leaks(d, i).filter("run >= 10"))
+
+
+def test_align_each():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        a = rng.integers(0, 4, rng.integers(1, 20))
+        texts = [rng.integers(0, 7, rng.integers(1, 60)) for _ in range(rng.integers(1, 6))]
+        want = [leakage.align(a, b) for b in texts]
+        assert leakage.align_each(a, texts).tolist() == want
+        flat, best = np.concatenate(texts), [0] * len(texts)
+        for n, x, y in leakage.stretches(np.isin(flat, a), np.array([len(b) for b in texts]), 9):
+            best[n] = max(best[n], leakage.align(a, flat[x:y]))
+        assert [s if s >= 9 else 0 for s in best] == [s if s >= 9 else 0 for s in want]
+
+
+def test_scores_hold_edited_copies(spark, tmp_path):
+    from vellum.llm import queries
+
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    copy = [f"x{x}" if k % 8 == 7 else x for k, x in enumerate(words)]
+    spark.createDataFrame([(1, " ".join(copy))], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, " ".join(words))], "item_id bigint, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert rows(queries.p9_scores(spark, str(tmp_path))) == [(1, 2, 5 * 14 - 4, 7)] and queries.p9_found(spark, str(tmp_path)).count() == 0
+
+
 def test_words_and_alignment():
     assert leakage.words("L’ÉTÉ ٣ـ۴ kitāb_al Ｘ-ray") == ["l", "ete", "34", "kitab", "al", "x", "ray"]
     rng = np.random.default_rng(1)

@@ -2,7 +2,8 @@
 
 Every run of ten words of a test item holds six runs of five words. The one that fewest documents hold is the run's seed, so a
 document with the passage holds the seed, and seeds are as rare as can be. Documents that hold a seed are aligned with the
-seed's items by Smith-Waterman, and a run of ten equal words is checked for exactly.
+seed's items by Smith-Waterman, and a run of ten equal words is checked for exactly. For edited copies every run of five words
+that an item and a document share is a seed, and only stretches that may reach the least score by an upper bound are aligned.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from vellum.llm.spans import BASES, run_hashes
 
 #: Test items are worked through in blocks of at most so many characters; each block is one pass over the documents.
 BLOCK_CHARS = 4_000_000
+#: Documents are aligned with an item together, about so many words at a time.
+ROW_WORDS = 200_000
 SEED, RUN = 5, 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -85,6 +88,43 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+def align_each(a: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """``align`` of ``a`` with each of ``parts``, whose entries are not negative. The parts stand in one row, a separator before each."""
+    size = np.array([len(b) + 1 for b in parts])
+    at = np.cumsum(size) - size
+    row = np.concatenate([x for b in parts for x in (np.array([-1], b.dtype), b)])
+    # a separator's step is larger than any score, so no gap runs over it
+    step = np.arange(len(row)) * -GAP + np.repeat(np.arange(len(parts)), size) * (len(a) * MATCH + 1)
+    if step[-1] < 2**30:
+        step = step.astype(np.int32)
+    h = np.zeros_like(step)
+    best, yes, no = h.copy(), step.dtype.type(MATCH), step.dtype.type(MISMATCH)
+    for x in a:
+        t = h + step.dtype.type(GAP)
+        np.maximum(t[1:], h[:-1] + np.where(row[1:] == x, yes, no), out=t[1:])
+        np.maximum(t, 0, out=t)
+        t[at] = 0
+        h = np.maximum.accumulate(t + step) - step
+        np.maximum(best, h, out=best)
+    return np.maximum.reduceat(best, at)
+
+
+def stretches(hit: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(number of the text, start, end) of all stretches of texts in one row that an alignment with ``least`` may lie in: no
+    alignment scores more than its words that are in the item at all (``hit``) less the others."""
+    text = np.repeat(np.arange(len(size)), size)
+    worth = np.where(hit, MATCH, max(MISMATCH, GAP)).astype(np.int64)
+    total = np.cumsum(worth) - text * (2 * MATCH * len(hit) + 1)  # lower from text to text, so that nothing runs from one into the next
+    before = total - worth
+    most = np.maximum.accumulate(total[::-1])[::-1] - np.minimum.accumulate(before)
+    where = np.flatnonzero(most >= least)
+    if not len(where):
+        return []
+    new = np.flatnonzero((np.diff(where) > 1) | (np.diff(text[where]) > 0)) + 1
+    first, last = where[np.append(0, new)], where[np.append(new, len(where)) - 1]
+    return list(zip(text[first].tolist(), first.tolist(), (last + 1).tolist(), strict=True))
+
+
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     """Longest run of equal consecutive entries."""
     best, prev = 0, np.zeros(len(b) + 1, np.int32)
@@ -124,32 +164,48 @@ def _hits(grams: np.ndarray):
 
 def _aligned(items: list[tuple[int, np.ndarray]], of: dict[int, list[int]], least: int):
     """(doc_id, item_id, score, run) of each document and the items whose seeds it holds."""
+    known = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
+    codes = [np.searchsorted(known, w) for _, w in items]
+
+    def scored(k: int, rows: list[int], texts: list[np.ndarray], mark: np.ndarray):
+        """(row, item_id, score, run) of some documents, as codes of their words, and one item."""
+        flat = np.concatenate([texts[i] for i in rows])
+        mark[codes[k]] = True
+        parts = stretches(mark[flat], np.array([len(texts[i]) for i in rows]), least)
+        mark[codes[k]] = False
+        if not parts:
+            return
+        best: dict[int, int] = {}
+        for (n, _, _), s in zip(parts, align_each(codes[k], [flat[x:y] for _, x, y in parts]).tolist(), strict=True):
+            best[n] = max(s, best.get(n, 0))
+        for n, s in best.items():
+            if s >= least:
+                yield rows[n], items[k][0], s, longest_run(codes[k], texts[rows[n]])
 
     def run(batches):
+        mark = np.zeros(len(known) + 1, bool)
         for batch in batches:
-            doc, item, score, longest = [], [], [], []
+            texts: list[np.ndarray] = []
+            at: dict[int, list[int]] = {}
             for i in range(batch.num_rows):
-                grams = batch.column("grams")[i].values.to_numpy().view(np.uint64)
-                found = sorted({k for g in grams.tolist() for k in of.get(g, ())})
-                if not found:
-                    continue
                 ws = batch.column("words")[i].values.to_numpy().view(np.uint64)
-                places = batch.column("places")[i].values.to_numpy()
-                for k in found:
-                    a = items[k][1]
-                    mine = places[np.isin(run_hashes(ws, SEED, BASES[0])[places], run_hashes(a, SEED, BASES[0]))]
-                    # an alignment through a place spans at most twice the item on either side
-                    near = np.zeros(len(ws), bool)
-                    for p in mine:
-                        near[max(0, p - 2 * len(a)) : p + 2 * len(a)] = True
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], near.astype(np.int8), [0]])))
-                    s, r = 0, 0
-                    for x, y in zip(edge[::2], edge[1::2], strict=True):
-                        s = max(s, align(a, ws[x:y]))
-                        if s >= least:
-                            r = max(r, longest_run(a, ws[x:y]))
-                    if s >= least:
-                        doc.append(i), item.append(items[k][0]), score.append(s), longest.append(r)
+                code = np.searchsorted(known, ws)
+                code[known[np.minimum(code, len(known) - 1)] != ws] = len(known)  # in no item
+                texts.append(code)
+                for k in {k for g in batch.column("grams")[i].values.to_numpy().view(np.uint64).tolist() for k in of.get(g, ())}:
+                    at.setdefault(k, []).append(i)
+            out = []
+            for k, rows in sorted(at.items()):
+                some, size = [], 0
+                for i in rows:
+                    some.append(i)
+                    size += len(texts[i])
+                    if size >= ROW_WORDS:
+                        out += scored(k, some, texts, mark)
+                        some, size = [], 0
+                if some:
+                    out += scored(k, some, texts, mark)
+            doc, item, score, longest = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (item, score, longest))], names=["doc_id", "item_id", "score", "run"])
 
     return run
@@ -168,12 +224,13 @@ def _blocks(items: DataFrame):
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = RUN * MATCH) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = RUN * MATCH, edited: bool = False) -> DataFrame:
     """(doc_id, item_id, score, run): the documents that hold a passage of an item.
 
     ``score`` is the best local alignment of their words, ``run`` the longest run of equal words; pairs below the score
     ``least`` are left out. Every document with a run of ten or more words of an item comes out; one that holds only an edited
-    copy does if it shares a seed. Null and empty texts hold nothing, a repeated row counts once, empty tables give no rows.
+    copy does if it shares a seed: with ``edited`` any five words in a row, else those of ten-word runs all of whose parts are
+    in some document. A copy without five words in a row is not looked for. Null and empty texts hold nothing, a repeated row counts once, empty tables give no rows.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint"), "text").filter("text is not null")
@@ -190,8 +247,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = RUN * MATCH) -> D
         for k, g in enumerate(runs):
             for x in set(g.tolist()):
                 holders.setdefault(x, []).append(k)
-        seeds: set[int] = set()
-        for g in runs:
+        seeds: set[int] = set(held) if edited else set()
+        for g in runs if not edited else ():
             n = np.array([held.get(x, 0) for x in g.tolist()])
             for i in range(len(g) - (RUN - SEED)):
                 part = n[i : i + RUN - SEED + 1]

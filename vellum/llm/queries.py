@@ -83,7 +83,7 @@ def p9_found(s, d):
 
 
 def p9_scores(s, d):
-    return leakage.leaks(_t(s, d, "documents"), _t(s, d, "eval_items"))
+    return leakage.leaks(_t(s, d, "documents"), _t(s, d, "eval_items"), edited=True)
 
 
 def p10_found(s, d):
