@@ -307,3 +307,13 @@ def test_labels_of_edges_without_metrics(spark, tmp_path):
         (1, "substantive", "high", "medium", "high", "high", "high"), (2, "substantive", "high", "medium", "medium", "high", "high"),
         (3, "formulaic", "high", "high", "medium", "low", "high"), (4, "formulaic", "low", "high", "medium", "low", "low"),
     ]
+
+
+def test_passages_of_both_sides(spark, corpus, tmp_path):
+    t, d = corpus
+    t.write.parquet(str(tmp_path / "page_tokens.parquet")), d.write.parquet(str(tmp_path / "token_definitions.parquet"))
+    edges(spark, edge(1, 100, 103, 40, 42), edge(2, 100, 103, 40, 42), edge(3, 5, 5, 100, 103, b=1)).write.parquet(str(tmp_path / "edges.parquet"))
+    got = {tuple(r)[:3]: r for r in catalogue.passages_with_context(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(1, 100, 103), (2, 40, 42)]
+    r = got[2, 40, 42]
+    assert (r.text_before, r.text_matched, r.text_after) == tuple(" ".join(f"w{k}" for k in range(*x)) for x in ((10, 40), (40, 42), (42, 72)))

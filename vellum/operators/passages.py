@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.pages import KEY
@@ -12,14 +12,6 @@ from vellum.operators.positions import page_ranges
 BUCKET = 4096
 
 
-def surface_text(surfaces: Column, start: Column, end: Column, context: int) -> Column:
-    """struct(before, matched, after) of the positions [start, end) of an array of surfaces; a null surface is skipped."""
-    n = F.size(surfaces)
-    a, b = F.least(start, n), F.least(end, n)
-    join = lambda lo, hi: F.array_join(F.slice(surfaces, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")), " ")
-    return F.struct(join(F.greatest(a - context, F.lit(0)), a).alias("before"), join(a, b).alias("matched"), join(b, F.least(b + context, n)).alias("after"))
-
-
 def page_surfaces(decoded: DataFrame, dim: DataFrame) -> DataFrame:
     """(page key, surfaces) of decoded pages; a token without a definition or surface is ''."""
     tokens = decoded.select(*KEY, F.posexplode("token_ids").alias("at", "token_id"))
@@ -43,11 +35,12 @@ def passages(spans: DataFrame, decoded: DataFrame, dim: DataFrame, context: int
     need = hit.select(*(F.col(f"r_{k}").alias(k) for k in KEY)).distinct()
     text = page_surfaces(sized.join(need, KEY, "left_semi"), dim).select(*(F.col(k).alias(f"t_{k}") for k in KEY), "surfaces")
     part = hit.join(text, [F.col(f"r_{k}") == F.col(f"t_{k}") for k in KEY])
-    lo, hi = F.greatest("lo", "page_start"), F.least("hi", "page_end")
-    cut = F.slice("surfaces", (lo - F.col("page_start") + 1).cast("int"), (hi - lo).cast("int"))
-    whole = part.groupBy("book_id", "start", "end", "lo").agg(F.array_sort(F.collect_list(F.struct("page_start", cut.alias("s")))).alias("p"))
-    flat = whole.withColumn("w", F.flatten(F.col("p.s")))
-    out = flat.select("book_id", "start", "end", surface_text(F.col("w"), F.col("start") - F.col("lo"), F.col("end") - F.col("lo"), context).alias("text"))
+    # texts travel as strings, and once: the groups are those of the join that follows; null if nothing of the page is in the range
+    start, end, first, last = (F.col(x) for x in ("start", "end", "page_start", "page_end"))
+    piece = lambda x, y: F.when(F.greatest(x, first) < F.least(y, last), F.array_join(F.slice("surfaces", (F.greatest(x, first) - first + 1).cast("int"), F.greatest(F.least(y, last) - F.greatest(x, first), F.lit(0)).cast("int")), " "))
+    pieces = part.select("book_id", "start", "end", F.struct("page_start", piece(F.col("lo"), start).alias("before"), piece(start, end).alias("matched"), piece(end, F.col("hi")).alias("after")).alias("p"))
+    whole = pieces.groupBy("book_id", "start", "end").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    out = whole.select("book_id", "start", "end", F.struct(*(F.array_join(F.col(f"p.{x}"), " ").alias(x) for x in ("before", "matched", "after"))).alias("text"))
     return s.join(out, ["book_id", "start", "end"], "left").withColumn("text", F.coalesce("text", F.struct(*(F.lit("").alias(x) for x in ("before", "matched", "after")))))
 
 

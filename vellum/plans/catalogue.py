@@ -212,8 +212,8 @@ def exact_places(s, d):
 
 def passages_with_context(s, d):
     e = _whole(s, d)
-    spans = e.select(F.col("source_book_id").alias("book_id"), F.col("source_global_start").alias("start"), F.col("source_global_end").alias("end")).filter("start < end")
-    out = P.passages(spans, tokens.decoded_pages(_t(s, d, "page_tokens")), _defs(s, d), 30)
+    sides = [e.select(F.col(f"{x}_book_id").alias("book_id"), F.col(f"{x}_global_start").alias("start"), F.col(f"{x}_global_end").alias("end")).filter("start < end") for x in ("source", "target")]
+    out = P.passages(sides[0].unionAll(sides[1]), tokens.decoded_pages(_t(s, d, "page_tokens")), _defs(s, d), 30)
     return out.select("book_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), *(F.col(f"text.{x}").alias(f"text_{x}") for x in ("before", "matched", "after")))
 
 
