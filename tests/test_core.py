@@ -317,3 +317,12 @@ def test_passages_of_both_sides(spark, corpus, tmp_path):
     assert sorted(got) == [(1, 100, 103), (2, 40, 42)]
     r = got[2, 40, 42]
     assert (r.text_before, r.text_matched, r.text_after) == tuple(" ".join(f"w{k}" for k in range(*x)) for x in ((10, 40), (40, 42), (42, 72)))
+
+
+def test_flat_export_holds_all_columns(spark, tmp_path):
+    values = {m: k / 8 for k, m in enumerate(METRICS)}
+    edges(spark, edge(1, 10, 30, **values | {"content_weight": None})).write.parquet(str(tmp_path / "edges.parquet"))
+    out = catalogue.flat_export(spark, str(tmp_path))
+    r = out.first()
+    assert len(out.columns) == 31 and out.columns[-12:-7] == COUNTS and (r.source_start_page, r.source_global_end, r.lemma_matches) == (1, 30, 20)
+    assert list(r)[-7:] == [None if m == "content_weight" else int(values[m] * 1000000) for m in METRICS[:-1]]

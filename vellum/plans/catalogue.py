@@ -19,6 +19,7 @@ from vellum.operators.positions import page_ranges, page_sizes
 from vellum.params import Params
 from vellum.plans.compare import compare
 from vellum.plans.oracles import oracle_sql  # noqa: F401
+from vellum.schemas import METRICS
 from vellum.sinks.files import edge_text, flat_edges
 
 DEFAULT = Params()
@@ -255,8 +256,9 @@ def validated_export(s, d):
 
 
 def flat_export(s, d):
+    """All 31 columns, the metrics in millionths."""
     f = flat_edges(_edges(s, d))
-    return f.select(*f.columns[:24])
+    return f.select(*(_ppm(c) if c in METRICS else c for c in f.columns))
 
 
 def edge_report(s, d):
