@@ -44,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return read
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` itself if it was read back by ``cut``, else cut."""
+    return df if getattr(df, "_vellum_path", None) else cut(df)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` on which nothing depends any more."""
     for df in tables:

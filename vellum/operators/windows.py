@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.pages import KEY
+from vellum.functions.cut import sized_join
+from vellum.functions.pages import BASES, KEY, run_hashes, unlist
 from vellum.operators.positions import page_ranges
 from vellum.params import Params
 
@@ -61,9 +64,35 @@ def shingle_array(ids: Column, n: int) -> Column:
     return F.when(F.size(ids) >= n, F.array_distinct(runs)).otherwise(none)
 
 
+def _shingled(n: int, on: str, keep: list[str], whole: bool):
+    """Each window's distinct runs of ``n`` ids: 128 bits of hash, or with ``whole`` the ids themselves. They are told apart by
+    their hashes, all windows of a batch in one sort."""
+
+    def run(batches):
+        for batch in batches:
+            flat, at = unlist(batch.column(on))
+            left = np.repeat(at[1:], np.diff(at)) - np.arange(len(flat))
+            start = np.flatnonzero(left >= n)
+            row = (np.searchsorted(at, start, "right") - 1).astype(np.int64)
+            h, g = ((run_hashes(flat.view(np.uint64), n, x)[start] if len(start) else np.zeros(0, np.uint64)) for x in BASES)
+            order = np.lexsort((g, h, row))
+            new = np.ones(len(order), bool)
+            new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+            at_ = np.sort(order[new]) if whole else order[new]
+            if whole:
+                runs = np.lib.stride_tricks.sliding_window_view(flat, n)[start[at_]] if len(at_) else np.zeros((0, n), np.int64)
+                found = [pa.ListArray.from_arrays(pa.array(np.arange(len(at_) + 1, dtype=np.int32) * n), pa.array(runs.ravel()))]
+            else:
+                found = [pa.array(x[at_].view(np.int64)) for x in (h, g)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[at_])) for c in keep), *found], names=[*keep, *(["shingle"] if whole else ["h", "g"])])
+
+    return run
+
+
 def shingles(windows: DataFrame, n: int, on: str = "lemma_ids") -> DataFrame:
     """(book_id, window_idx, shingle) with each window's distinct shingles."""
-    return windows.select("book_id", "window_idx", F.explode(shingle_array(F.col(on), n)).alias("shingle"))
+    keep = ["book_id", "window_idx"]
+    return windows.select(*keep, on).filter(F.size(on) >= n).mapInArrow(_shingled(n, on, keep, True), "book_id bigint, window_idx bigint, shingle array<bigint>")
 
 
 def candidate_pairs(windows: DataFrame, p: Params, pairs: DataFrame | None = None, on: str = "lemma_ids") -> DataFrame:
@@ -72,18 +101,27 @@ def candidate_pairs(windows: DataFrame, p: Params, pairs: DataFrame | None = Non
 
     A shingle travels as 128 bits of hash, and one that stands in one book only is dropped before the join.
     """
-    s = windows.select("book_id", "window_idx", F.explode(shingle_array(F.col(on), p.ngram_size)).alias("x")).select("book_id", "window_idx", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(17), F.reverse("x")).alias("g"))
-    if pairs is None:
-        several = s.groupBy("h", "g").agg(F.min("book_id").alias("lo"), F.max("book_id").alias("hi")).filter("lo < hi").select("h", "g")
-        s = s.join(several, ["h", "g"], "left_semi")
+    keep = ["book_id", "window_idx"]
+    w = windows.select(*keep, on).filter(F.size(on) >= p.ngram_size)
+    if pairs is not None:
+        named = pairs.select(F.explode(F.array("book_a", "book_b")).alias("own")).distinct()
+        w = sized_join(w, named, w.book_id == named.own, "left_semi")
+    s = w.mapInArrow(_shingled(p.ngram_size, on, keep, False), "book_id bigint, window_idx bigint, h bigint, g bigint")
+    several = s.groupBy("h", "g").agg(F.min("book_id").alias("lo"), F.max("book_id").alias("hi"))
+    if pairs is None or not _same_book(pairs):
+        s = s.join(several.filter("lo < hi").select("h", "g"), ["h", "g"], "left_semi")
     a, b = (s.select("h", "g", F.col("book_id").alias(f"book_{x}"), F.col("window_idx").alias(f"widx_{x}")) for x in "ab")
     if pairs is None:
         met = a.join(b, ["h", "g"]).filter("book_a < book_b")
     else:
-        met = a.join(pairs, "book_a").join(b, ["h", "g", "book_b"])
+        met = sized_join(a, pairs.select("book_a", "book_b").distinct(), "book_a", "inner").join(b, ["h", "g", "book_b"])
     return met.groupBy("book_a", "widx_a", "book_b", "widx_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= p.min_shared_shingles)
 
 
+def _same_book(pairs: DataFrame) -> bool:
+    return not pairs.filter("book_a = book_b").isEmpty()
+
+
 def all_window_pairs(windows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(book_a, widx_a, book_b, widx_b) of every two windows of the books compared: the brute-force candidates, meant for pairs
     of short books. The books' window indices are joined by book pair, not crossed."""
