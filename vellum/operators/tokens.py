@@ -89,3 +89,22 @@ def lemma_stream(page_tokens: DataFrame, dim: DataFrame) -> DataFrame:
     start = page_ranges(pages.select(*KEY, "n")).select(*(F.col(k).alias(f"r_{k}") for k in KEY), "page_start")
     tokens = pages.join(start, [F.col(k) == F.col(f"r_{k}") for k in KEY]).select("book_id", "page_start", F.posexplode("token_ids").alias("off", "token_id"))
     return tokens.join(dim.select("token_id", "lemma_id"), "token_id", "left").select("book_id", (F.col("page_start") + F.col("off")).alias("pos"), F.coalesce("lemma_id", F.lit(0)).alias("lemma_id"))
+
+
+#: Punctuation that is no part of a word's lemma.
+PUNCTUATION = ".,;:!?()[]<>\"'"
+
+
+def text_pages(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Texts as books of one page: (book_id, part_index, page_id, lemma_ids, root_ids).
+
+    A token is what stands between blanks, tabs and line ends; its lemma is the token without punctuation at any place (the
+    token itself if nothing else is left), its root the lemma's first three characters, none (0) below three. Ids are 64-bit
+    hashes. Null texts are no books; a text without tokens has no windows.
+    """
+    words = F.filter(F.split(F.col(text), "[ \t\n\r\f]+"), lambda x: x != "")
+    bare = F.transform(words, lambda x: F.translate(x, PUNCTUATION, ""))
+    lemmas = F.zip_with(words, bare, lambda w, b: F.when(b == "", w).otherwise(b))
+    root = lambda x: F.when(F.char_length(x) >= 3, F.xxhash64(F.substring(x, 1, 3))).otherwise(F.lit(0).cast("bigint"))
+    t = texts.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("book_id"), F.lit(1).cast("bigint").alias("part_index"), F.lit(1).cast("bigint").alias("page_id"), lemmas.alias("x"))
+    return t.select("book_id", "part_index", "page_id", F.transform("x", lambda x: F.xxhash64(x)).alias("lemma_ids"), F.transform("x", root).alias("root_ids"))

@@ -118,6 +118,16 @@ def candidate_pairs(windows: DataFrame, p: Params, pairs: DataFrame | None = Non
     return met.groupBy("book_a", "widx_a", "book_b", "widx_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= p.min_shared_shingles)
 
 
+def candidates_between(a: DataFrame, b: DataFrame, p: Params, on: str = "lemma_ids") -> DataFrame:
+    """(book_a, widx_a, book_b, widx_b, shared) of the windows of one corpus and those of another, such as test items and
+    documents; their book ids are to differ. Only shingles that both have are joined."""
+    keep = ["book_id", "window_idx"]
+    x, y = (w.select(*keep, on).filter(F.size(on) >= p.ngram_size).mapInArrow(_shingled(p.ngram_size, on, keep, False), "book_id bigint, window_idx bigint, h bigint, g bigint") for w in (a, b))
+    x, y = (s.select("h", "g", F.col("book_id").alias(f"book_{k}"), F.col("window_idx").alias(f"widx_{k}")) for k, s in (("a", x), ("b", y)))
+    met = x.join(y, ["h", "g"])
+    return met.groupBy("book_a", "widx_a", "book_b", "widx_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= p.min_shared_shingles)
+
+
 def _same_book(pairs: DataFrame) -> bool:
     return not pairs.filter("book_a = book_b").isEmpty()
 

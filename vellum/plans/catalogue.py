@@ -19,7 +19,7 @@ from vellum.operators.positions import page_ranges, page_sizes
 from vellum.params import Params
 from vellum.plans.compare import compare
 from vellum.plans.oracles import oracle_sql  # noqa: F401
-from vellum.schemas import METRICS
+from vellum.schemas import COUNTS, METRICS
 from vellum.sinks.files import edge_text, flat_edges
 
 DEFAULT = Params()
@@ -154,6 +154,39 @@ sw_score_combined = _scores("combined", False)
 sw_score_weighted = _scores("combined", True)
 
 
+def _item_alignments(s, d, p):
+    """Alignments of the test items' windows with the documents'. An item is a book with a negative id."""
+    items = tokens.text_pages(_t(s, d, "eval_items").select((-1 - F.col("item_id")).alias("book"), "text"), "book")
+    docs = tokens.text_pages(_t(s, d, "documents"), "doc_id")
+    columns = ("lemma_ids", "root_ids")
+    both = []
+    for pages in (items, docs):
+        pages = cut(pages)
+        w = windows.token_windows(weights.weighted_pages(pages), p, (*columns, "weights")) if p.use_weights else windows.token_windows(pages, p, columns)
+        both.append(cut(w))
+    return window_alignments(windows.candidates_between(*both, p), both[0].unionByName(both[1]), p)
+
+
+def _item_scores(mode, use_weights):
+    def run(s, d):
+        al = _item_alignments(s, d, replace(DEFAULT, mode=mode, use_weights=use_weights, no_filters=True))
+        return al.select((-1 - F.col("book_a")).alias("item_id"), "widx_a", F.col("book_b").alias("doc_id"), "widx_b", "a_start", "a_end", "b_start", "b_end", "pairs", "lemma_matches", "substitutions", "root_only_matches", "gaps", "score")
+
+    return run
+
+
+item_alignments_lemma = _item_scores("lemma", False)
+item_alignments_root = _item_scores("root", False)
+item_alignments_combined = _item_scores("combined", False)
+item_alignments_weighted = _item_scores("combined", True)
+
+
+def item_edges(s, d):
+    """The edges of test items and documents, with the metrics that follow from their counts in millionths."""
+    e = E.alignments_to_edges(_item_alignments(s, d, DEFAULT))
+    return e.select("id", (-1 - F.col("source_book_id")).alias("item_id"), F.col("target_book_id").alias("doc_id"), *(f"{x}_global_{y}" for x in ("source", "target") for y in ("start", "end")), *COUNTS, *(_ppm(c) for c in ("core_similarity", "span_coverage", "lemma_similarity", "combined_similarity")))
+
+
 def alignment_edges(s, d):
     c = compare(_t(s, d, "page_tokens"), _t(s, d, "token_definitions"))
     return c.raw

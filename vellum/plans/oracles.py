@@ -56,6 +56,43 @@ def _fold(slack: int) -> str:
  from f qualify row_number() over (partition by source_book_id, target_book_id, grp order by k desc) = 1"""
 
 
+_PUNCT = ".,;:!?()[]<>\"''"
+_TEXTS = f"""texts as (select 'a' as side, item_id as id, text from eval_items where text is not null union all select 'b', doc_id, text from documents where text is not null),
+ words as (select side, id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') as ws from texts),
+ lem as (select side, id, list_transform(ws, lambda x: case when translate(x, '{_PUNCT}', '') = '' then x else translate(x, '{_PUNCT}', '') end) as l, len(ws) as length from words),
+ tok as (select side, id, length, unnest(range(length)) as pos, unnest(l) as lemma from lem where length > 0),
+ cnt as (select side, id, lemma, least(greatest(ln(any_value(length) / count(*)), 0.5), 3.0)::float as wt from tok group by side, id, lemma),
+ tw as (select t.side, t.id, pos, lemma, case when length(lemma) >= 3 then substring(lemma, 1, 3) end as root, wt from tok t join cnt using (side, id, lemma)),
+ wr as (select side, id, length, k as widx, k * 60 as lo, least(k * 60 + 275, length) as hi from (select side, id, length, unnest(range({_COUNT})) as k from lem)),
+ sh as (select distinct side, id, widx, l[i:i+4] as x from (select w.side, w.id, widx, lem.l, unnest(range(lo + 1, hi - 3)) as i from wr w join lem using (side, id) where hi - lo >= 5)),
+ cand as (select row_number() over () as k, * from (select a.id as item_id, a.widx as widx_a, b.id as doc_id, b.widx as widx_b from sh a join sh b on a.side = 'a' and b.side = 'b' and a.x = b.x group by all having count(*) >= 3)),
+ ca as (select k, pos - lo as i, lemma, root, wt, hi - lo as n from cand c join wr w on w.side = 'a' and w.id = c.item_id and w.widx = c.widx_a join tw t on t.side = 'a' and t.id = c.item_id and t.pos >= lo and t.pos < hi),
+ cb as (select k, pos - lo as j, lemma, root, wt from cand c join wr w on w.side = 'b' and w.id = c.doc_id and w.widx = c.widx_b join tw t on t.side = 'b' and t.id = c.doc_id and t.pos >= lo and t.pos < hi)"""
+
+
+def _aligned(mode: str, weighted: bool) -> str:
+    """All cells of all candidate pairs, one recursive step per row of the item. A cell carries its score and, packed into one
+    number, the start of its path and the counts along it; where a score is reached from the left only, the path is that of the
+    last cell on the row that was not, with the gaps in between."""
+    hit = "trunc(2::float * least(a.wt, b.wt))::bigint" if weighted else "2"
+    score = {"lemma": f"case when a.lemma = b.lemma then {hit} else -1 end", "root": "case when a.root = b.root then 2 else -1 end", "combined": f"case when a.lemma = b.lemma then {hit} when a.root = b.root then 1 else -1 end"}[mode]
+    one = [1 << (9 * x) for x in range(6)]  # gaps, root-only matches, lemma matches, pairs, start of b, start of a
+    return f"""m as (select k, 0::bigint as i, j, 0::bigint as h, 0::bigint as st from (select distinct k, 0::bigint as j from cb union all select k, j + 1 from cb)
+ union all select k, i, j, h, case when h = 0 then 0 when h = t then tst else o.st + (j - o.j) end as st from (
+  select k, i, j, t, tst, h, last_value(case when h = t then {{'j': j, 'st': tst}} end ignore nulls) over (partition by k order by j rows between unbounded preceding and current row) as o from (
+   select k, i, j, t, case when t = 0 then 0 when t = dg + s then (case when dst = 0 then (i - 1) * {one[5]} + (j - 1) * {one[4]} else dst end) + {one[3]} + cls else ust + 1 end as tst, max(t + j) over (partition by k order by j rows between unbounded preceding and current row) - j as h from (
+    select *, case when j = 0 then 0 else greatest(0, dg + s, up - 1) end as t from (
+     select r.k, r.i + 1 as i, r.j, r.h as up, r.st as ust, lag(r.h) over (partition by r.k order by r.j) as dg, lag(r.st) over (partition by r.k order by r.j) as dst,
+      {score} as s, case when a.lemma = b.lemma then {one[2]} when a.root = b.root then {one[1]} else 0 end as cls
+     from m r join ca a on a.k = r.k and a.i = r.i left join cb b on b.k = r.k and b.j = r.j - 1))))),
+ best as (select k, max(h) as score, arg_max({{'i': i, 'j': j, 'st': st}}, {{'h': h, 'i': -i, 'j': -j}}) as z from m group by k),
+ al as (select c.*, z.st // {one[5]} as a_start, z.i as a_end, (z.st // {one[4]}) % 512 as b_start, z.j as b_end, (z.st // {one[3]}) % 512 as pairs, (z.st // {one[2]}) % 512 as lemma_matches, (z.st // {one[1]}) % 512 as root_only_matches, z.st % 512 as gaps, score from best join cand c using (k) where score >= 10)"""
+
+
+def _items(mode: str, weighted: bool) -> str:
+    return f"with recursive {_TEXTS}, {_aligned(mode, weighted)} select item_id, widx_a, doc_id, widx_b, a_start, a_end, b_start, b_end, pairs, lemma_matches, pairs - lemma_matches - root_only_matches as substitutions, root_only_matches, gaps, score from al where pairs >= 10"
+
+
 _MATCHED = lambda s: f"(select coalesce(string_agg(t.surface, ' ' order by t.pos), '') from stream t where t.book_id = w.{s}_book_id and t.pos >= w.{s}_global_start and t.pos < w.{s}_global_end)"
 
 
@@ -82,6 +119,11 @@ def oracle_sql() -> dict[str, str]:
         "filter_rate": f"with {_BASE}, {_WINDOWS}, {_SHINGLES}, {_CAND}, n as (select book_id, count(*) as n from win group by 1) select book_a, book_b, a.n * b.n as total_pairs, c.candidates, ((a.n * b.n - c.candidates) * 1000000) // (a.n * b.n) as rate_ppm from (select book_a, book_b, count(*) as candidates from cand group by all) c join n a on a.book_id = book_a join n b on b.book_id = book_b",
         "idf_weights": f"with {_BASE} select book_id, lemma_id, floor(least(greatest(ln(t.total / count(*)), 0.5), 3.0)::float::double * 1000)::bigint as weight_milli from stream join (select book_id, count(*) as total from stream group by 1) t using (book_id) group by book_id, lemma_id, t.total",
         "quick_similarity": f"with {_STORED} select a.book_id, a.window_idx from st a join st b on a.book_id = b.book_id and b.window_idx = a.window_idx + 1 where len(list_distinct(list_intersect(a.lemma_ids, b.lemma_ids))) >= 10",
+        "item_alignments_lemma": _items("lemma", False),
+        "item_alignments_root": _items("root", False),
+        "item_alignments_combined": _items("combined", False),
+        "item_alignments_weighted": _items("combined", True),
+        "item_edges": f"with recursive {_TEXTS}, {_aligned('combined', True)}, x as (select *, pairs + gaps as aligned_length, pairs - lemma_matches - root_only_matches as substitutions from al where pairs >= 10) select row_number() over (partition by item_id, doc_id order by widx_a, widx_b) - 1 as id, item_id, doc_id, widx_a * 60 + a_start as source_global_start, widx_a * 60 + a_end as source_global_end, widx_b * 60 + b_start as target_global_start, widx_b * 60 + b_end as target_global_end, aligned_length, lemma_matches, substitutions, root_only_matches, gaps, {ppm('case when lemma_matches + substitutions > 0 then lemma_matches::float / (lemma_matches + substitutions)::float else 0 end', 'core_similarity')}, {ppm('case when aligned_length > 0 then (lemma_matches + substitutions)::float / aligned_length::float else 0 end', 'span_coverage')}, {ppm('case when aligned_length > 0 then lemma_matches::float / aligned_length::float else 0 end', 'lemma_similarity')}, {ppm('case when aligned_length > 0 then (lemma_matches + 0.5 * root_only_matches)::float / aligned_length::float else 0 end', 'combined_similarity')} from x",
         "edge_metrics": f"with {_EDGES} select id, aligned_length, {ppm('case when lemma_matches + substitutions > 0 then lemma_matches::float / (lemma_matches + substitutions)::float else 0 end', 'core_similarity')}, {ppm('case when aligned_length > 0 then (lemma_matches + substitutions)::float / aligned_length::float else 0 end', 'span_coverage')}, {ppm('case when aligned_length > 0 then lemma_matches::float / aligned_length::float else 0 end', 'lemma_similarity')}, {ppm('case when aligned_length > 0 then (lemma_matches + 0.5 * root_only_matches)::float / aligned_length::float else 0 end', 'combined_similarity')} from e where lemma_matches is not null and substitutions is not null and root_only_matches is not null and gaps is not null and aligned_length is not null",
         "merged_edges": _fold(0),
         "adjacent_merge": _fold(10),
