@@ -94,7 +94,8 @@ def page_offsets(s, d):
 
 
 def position_to_page(s, d):
-    at = _t(s, d, "windows").select("book_id", F.col("global_start").alias("pos")).distinct()
+    """The pages of the first and the last token of each stored window."""
+    at = _t(s, d, "windows").select("book_id", F.explode(F.array("global_start", F.col("global_end") - 1)).alias("pos")).distinct()
     return E.position_to_page(at, page_ranges(page_sizes(_t(s, d, "page_tokens"))))
 
 
@@ -154,7 +155,7 @@ sw_score_combined = _scores("combined", False)
 sw_score_weighted = _scores("combined", True)
 
 
-def _item_alignments(s, d, p):
+def _item_alignments(s, d, p, band=None):
     """Alignments of the test items' windows with the documents'. An item is a book with a negative id."""
     items = tokens.text_pages(_t(s, d, "eval_items").select((-1 - F.col("item_id")).alias("book"), "text"), "book")
     docs = tokens.text_pages(_t(s, d, "documents"), "doc_id")
@@ -164,12 +165,12 @@ def _item_alignments(s, d, p):
         pages = cut(pages)
         w = windows.token_windows(weights.weighted_pages(pages), p, (*columns, "weights")) if p.use_weights else windows.token_windows(pages, p, columns)
         both.append(cut(w))
-    return window_alignments(windows.candidates_between(*both, p), both[0].unionByName(both[1]), p)
+    return window_alignments(windows.candidates_between(*both, p), both[0].unionByName(both[1]), p, band)
 
 
-def _item_scores(mode, use_weights):
+def _item_scores(mode, use_weights, band=None):
     def run(s, d):
-        al = _item_alignments(s, d, replace(DEFAULT, mode=mode, use_weights=use_weights, no_filters=True))
+        al = _item_alignments(s, d, replace(DEFAULT, mode=mode, use_weights=use_weights, no_filters=True), band)
         return al.select((-1 - F.col("book_a")).alias("item_id"), "widx_a", F.col("book_b").alias("doc_id"), "widx_b", "a_start", "a_end", "b_start", "b_end", "pairs", "lemma_matches", "substitutions", "root_only_matches", "gaps", "score")
 
     return run
@@ -179,6 +180,7 @@ item_alignments_lemma = _item_scores("lemma", False)
 item_alignments_root = _item_scores("root", False)
 item_alignments_combined = _item_scores("combined", False)
 item_alignments_weighted = _item_scores("combined", True)
+item_alignments_banded = _item_scores("combined", False, 40)
 
 
 def item_edges(s, d):
@@ -202,18 +204,25 @@ def compare_summary(s, d):
 
 
 def edge_metrics(s, d):
-    """The metrics that follow from the stored counts, in millionths."""
+    """All eight metrics, computed from the stored counts, in millionths; the sum of the weights and the number of distinct
+    lemmas are those that the stored averages stand for (a null average is 0)."""
     e = _edges(s, d).dropna(subset=["lemma_matches", "substitutions", "root_only_matches", "gaps", "aligned_length"])
-    m = E.with_metrics(e.select("id", (F.col("aligned_length") - F.col("gaps")).alias("pairs"), "gaps", "lemma_matches", "substitutions", "root_only_matches", F.lit(0).cast("float").alias("match_weight_sum"), F.col("lemma_matches").alias("unique_lemmas")))
-    return m.select("id", "aligned_length", *(_ppm(c) for c in ("core_similarity", "span_coverage", "lemma_similarity", "combined_similarity")))
+    part = lambda c: F.coalesce(c, F.lit(0)).cast("double") * F.col("lemma_matches")
+    m = E.with_metrics(e.select("id", (F.col("aligned_length") - F.col("gaps")).alias("pairs"), "gaps", "lemma_matches", "substitutions", "root_only_matches", part("content_weight").cast("float").alias("match_weight_sum"), F.floor(part("lexical_diversity")).alias("unique_lemmas")))
+    return m.select("id", "aligned_length", *(_ppm(c) for c in METRICS))
+
+
+def _all_columns(e):
+    f = flat_edges(e).join(e.select("id", "avg_match_weight"), "id")
+    return f.select(*(_ppm(c) if c in METRICS else c for c in f.columns))
 
 
 def merged_edges(s, d):
-    return E.merge_edges(_edges(s, d)).select("id", "source_book_id", "target_book_id", *(f"{x}_global_{e}" for x in ("source", "target") for e in ("start", "end")), "aligned_length", "lemma_matches", "gaps")
+    return _all_columns(cut(E.merge_edges(_edges(s, d))))
 
 
 def adjacent_merge(s, d):
-    return E.merge_adjacent_edges(_edges(s, d), 10).select("id", "source_book_id", "target_book_id", *(f"{x}_global_{e}" for x in ("source", "target") for e in ("start", "end")), "aligned_length")
+    return _all_columns(cut(E.merge_adjacent_edges(_edges(s, d), 10)))
 
 
 def subsumed_removal(s, d):
@@ -235,7 +244,7 @@ def _whole(s, d):
 
 def comparison_summary(s, d):
     out = E.summarize(_whole(s, d), E.book_lengths(_t(s, d, "page_tokens")))
-    return out.select("book_a", "book_b", "edge_count", "total_aligned_tokens", "covered_a", "covered_b")
+    return out.select("book_a", "book_b", "edge_count", "total_aligned_tokens", _ppm("avg_similarity"), _ppm("avg_weighted_similarity"), "covered_a", "covered_b", _ppm("coverage_a"), _ppm("coverage_b"))
 
 
 def exact_places(s, d):
@@ -266,6 +275,20 @@ def viewer_search_sort(s, d):
     return docs.select("doc_id", truncate_text(F.col("text"), 100).alias("short_text"), preview(F.col("text")).alias("preview_text"))
 
 
+def _nested(s, d):
+    return P.edges_with_text(_whole(s, d), tokens.decoded_pages(_t(s, d, "page_tokens")), _defs(s, d), 0)
+
+
+def edge_search_sort(s, d):
+    """Edges with a search term in the text of either side and a least length, numbered in the order of the default view."""
+    n = _nested(s, d).select("id", F.col("alignment.length").alias("aligned_length"), *(F.col(f"alignment.{c}").alias(c) for c in ("core_similarity", "span_coverage", "content_weight", "avg_match_weight")), F.col("alignment.similarity").alias("lemma_similarity"), *(F.col(f"{x}.text.matched").alias(f"{x}_text") for x in ("source", "target")))
+    found = R.view_edges(n, R.View(search="ال", min_length=20))
+    # descending, nulls last, then by id: what sort_edges gives, numbered by ranges
+    keyed = found.withColumn("all", F.lit(0)).withColumn("key", -F.coalesce(R._metric("core_similarity"), F.lit(-1).cast("float")))
+    out = E.numbered_within(keyed, ["all"], ["key", "id"], "at")
+    return out.select("id", (F.col("at") + 1).alias("place"), preview(F.col("source_text")).alias("source_preview"), preview(F.col("target_text"), 50).alias("target_preview"))
+
+
 def viewer_filter(s, d):
     v = R.View(min_similarity=0.5, min_length=20, min_core_similarity=0.7, min_span_coverage=0.3, min_content_weight=1.0)
     return R.view_edges(_edges(s, d), v).select("id", "aligned_length")
@@ -281,11 +304,18 @@ def validation_counts(s, d):
     return R.validation_counts(e.select("id", F.when(F.col("core_similarity_band") == "high", "valid").when(F.col("core_similarity_band") == "low", "noise").alias("validation")))
 
 
+def _reviewed(s, d):
+    return _whole(s, d).select("id", F.when(F.col("core_similarity") >= F.lit(0.9).cast("float"), "valid").when(F.col("core_similarity") < F.lit(0.7).cast("float"), "noise").alias("validation"))
+
+
 def validated_export(s, d):
-    e = _whole(s, d)
-    labels = e.select("id", F.when(F.col("core_similarity") >= F.lit(0.9).cast("float"), "valid").when(F.col("core_similarity") < F.lit(0.7).cast("float"), "noise").alias("validation"))
-    nested = P.edges_with_text(e, tokens.decoded_pages(_t(s, d, "page_tokens")), _defs(s, d), 0)
-    return R.validated_export(nested, labels).select("id", "validation", "source_location", "target_location", "source_text", "target_text", "length", "lemma_matches", "gaps")
+    """All 14 columns of the labelled edges."""
+    return R.validated_export(_nested(s, d), _reviewed(s, d))
+
+
+def short_export(s, d):
+    """The five-column export, the similarity in millionths."""
+    return R.short_export(_nested(s, d), _reviewed(s, d)).select("id", "validation", "source_text", "target_text", _ppm("similarity"))
 
 
 def flat_export(s, d):
