@@ -5,20 +5,34 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
+from vellum.errors import CorpusError
 from vellum.operators import stats, tokens
 from vellum.params import Params
 
 
-def _tables(spark, corpus: str, *names: str):
+def _tables(spark, corpus: str, *names: str, books: list[int] | None = None):
+    """Tables of the corpus; of those with a book_id only the rows of ``books`` if they are named."""
     if corpus.endswith((".db", ".sqlite", ".sqlite3")):
         from vellum.sources.sqlite import read_table
 
-        return [read_table(spark, corpus, n) for n in names]
+        return [read_table(spark, corpus, n, book_id=books if n in ("page_tokens", "pages") else None) for n in names]
     from vellum.sources.files import read_corpus
 
-    return read_corpus(spark, corpus, *names)
+    read = read_corpus(spark, corpus, *names)
+    return read if books is None else [t.filter(t.book_id.isin(books)) if "book_id" in t.columns else t for t in read]
+
+
+def _page_labels(spark, corpus: str, book: int):
+    """The corpus's labels of pages; none if it has no such table."""
+    from vellum.schemas import PAGES
+
+    try:
+        return _tables(spark, corpus, "pages", books=[book])[0].select("book_id", "part_index", "page_id", "page_number", "part_label")
+    except (AnalysisException, CorpusError):
+        return spark.createDataFrame([], PAGES)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -53,16 +67,13 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _compare(spark, a) -> None:
-    from pyspark.sql import functions as F
-
     from vellum.functions.text import utc_now
     from vellum.operators.passages import edges_with_text
     from vellum.plans.compare import compare
     from vellum.sinks.files import edges_report, flat_edges, flat_edges_with_text, result_header, summary_report, write_csv_file, write_result_file
     from vellum.sinks.viewer import write_viewer_file
 
-    t, d = _tables(spark, a.corpus, "page_tokens", "token_definitions")
-    t = t.filter(F.col("book_id").isin(a.book_a, a.book_b))
+    t, d = _tables(spark, a.corpus, "page_tokens", "token_definitions", books=[a.book_a, a.book_b])
     p = Params(**{f.name: getattr(a, f.name) for f in fields(Params)})
     pairs = spark.createDataFrame([(a.book_a, a.book_b)], "book_a bigint, book_b bigint")
     c = compare(t, d, p, pairs)
@@ -95,18 +106,16 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("vellum").getOrCreate()
     if a.command == "compare":
         return _compare(spark, a)
-    t, d = _tables(spark, a.corpus, "page_tokens", "token_definitions")
+    own, d = _tables(spark, a.corpus, "page_tokens", "token_definitions", books=None if a.command == "stats" else [a.book])
     if a.command == "stats":
-        for k, v in stats.corpus_stats(t, d).first().asDict().items():
+        for k, v in stats.corpus_stats(own, d).first().asDict().items():
             print(f"{k}: {v}")
         return None
-    own = t.filter(f"book_id = {a.book}")
     row = stats.one_book_info(stats.book_info(own, tokens.page_lemmas(own, tokens.token_dim(d))), a.book).first()
     for k, v in row.asDict().items():
         print(f"{k}: {v}")
     if a.show_pages:
-        none = spark.createDataFrame([], "book_id bigint, part_index bigint, page_id bigint, page_number string, part_label string")
-        for r in stats.book_pages(own, none).orderBy("part_index", "page_id").toLocalIterator():
+        for r in stats.book_pages(own, _page_labels(spark, a.corpus, a.book)).orderBy("part_index", "page_id").toLocalIterator():
             print(f"{r.part_index}:{r.page_id} {r.label} {r.token_count}")
     return None
 

@@ -32,7 +32,7 @@ document.getElementById('bar').oninput=x=>{const k=x.target.dataset.k;if(k){view
 document.getElementById('list').onclick=x=>{const d=x.target.closest('[data-id]');if(d){open=+d.dataset.id;draw()}};document.getElementById('one').onclick=x=>{const l=x.target.dataset.l;if(l){labels[open]=labels[open]===l?undefined:l;draw()}};
 document.getElementById('save').onclick=()=>{const q=s=>'"'+String(s).replace(/"/g,'""')+'"',rows=[['id','validation','source_location','source_text','target_location','target_text','length','lemma_matches','substitutions','gaps','core_similarity','span_coverage','content_weight','similarity'].join(',')];
 shown().filter(e=>labels[e.id]).forEach(e=>{const a=e.alignment;rows.push([e.id,labels[e.id],q(e.source.location),q(e.source.text.matched),q(e.target.location),q(e.target.text.matched),a.length,a.lemma_matches,a.substitutions??0,a.gaps,get(e,'core_similarity').toFixed(4),get(e,'span_coverage').toFixed(4),get(e,'content_weight').toFixed(4),a.similarity.toFixed(4)].join(','))});
-const u=URL.createObjectURL(new Blob([rows.join('\\n')],{type:'text/csv'})),a=document.createElement('a');a.href=u;a.download='validated_matches.csv';a.click();URL.revokeObjectURL(u)};draw();
+const u=URL.createObjectURL(new Blob([rows.join('\\n')],{type:'text/csv'})),a=document.createElement('a');a.href=u;a.download='labelled-edges.csv';a.click();URL.revokeObjectURL(u)};draw();
 </script></body></html>
 """
 

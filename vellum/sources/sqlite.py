@@ -1,7 +1,8 @@
 """A Spark data source over SQLite files, read only.
 
 ``spark.dataSource.register(SqliteSource)``, then ``spark.read.format("sqlite").option("table", "page_tokens").load(path)``.
-Rows are read in ranges of rowid, ``partitions`` of them; the option ``book_id`` leaves the choice of a book to SQLite. (Filters
+Rows are read in ranges of rowid, ``partitions`` of them; a table without rowids is one partition. The option ``book_id``, one
+id or several with commas between, leaves the choice of books to SQLite, where the primary key serves it. (Spark's own filters
 are not pushed down: what one query of a DataFrame pushes would stay with the source for the next.)
 """
 
@@ -29,17 +30,20 @@ def _name(x: str) -> str:
 
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, schema: StructType, partitions: int, book: int | None):
+    def __init__(self, path: str, table: str, schema: StructType, partitions: int, book: list[int] | None):
         self.path, self.table, self.schema, self.n, self.book = path, table, schema, partitions, book
 
     def partitions(self):
         with _connect(self.path) as db:
-            low, high = db.execute(f"select min(rowid), max(rowid) from {_name(self.table)}").fetchone()
+            try:
+                low, high = db.execute(f"select min(rowid), max(rowid) from {_name(self.table)}").fetchone()
+            except sqlite3.OperationalError:
+                return [_Range(None, None)]
         if low is None:
             return [_Range(0, -1)]
         step = -(-(high - low + 1) // self.n)
@@ -47,9 +51,9 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition):
         columns = ", ".join(_name(f.name) for f in self.schema.fields)
-        where, values = "rowid between ? and ?", [partition.low, partition.high]
+        where, values = ("rowid between ? and ?", [partition.low, partition.high]) if partition.high is not None else ("true", [])
         if self.book is not None:
-            where, values = where + " and book_id = ?", [*values, self.book]
+            where, values = f"{where} and book_id in ({', '.join('?' * len(self.book))})", [*values, *self.book]
         with _connect(self.path) as db:
             yield from db.execute(f"select {columns} from {_name(self.table)} where {where}", values)
 
@@ -68,10 +72,10 @@ class SqliteSource(DataSource):
         return ", ".join(f"`{c[1]}` {kind(c[2])}" for c in info)
 
     def reader(self, schema):
-        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", 8)), int(self.options["book_id"]) if "book_id" in self.options else None)
+        return SqliteReader(self.options["path"], self.options["table"], schema, int(self.options.get("partitions", 8)), [int(x) for x in self.options["book_id"].split(",")] if "book_id" in self.options else None)
 
 
-def read_table(spark, path: str, table: str, partitions: int = 8, book_id: int | None = None):
+def read_table(spark, path: str, table: str, partitions: int = 8, book_id: int | list[int] | None = None):
     spark.dataSource.register(SqliteSource)
     read = spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions)
-    return (read if book_id is None else read.option("book_id", book_id)).load()
+    return (read if book_id is None else read.option("book_id", ",".join(map(str, book_id)) if isinstance(book_id, list) else book_id)).load()
