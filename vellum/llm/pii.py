@@ -203,13 +203,11 @@ def found(tags: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int]]:
                 a += 1
             while b > a and k[b - 1] in (1, 2):
                 b -= 1
-            if b - a >= LEAST[kind[a] - 1] if b > a else False:
+            if b > a:
                 out.append((int(kind[a]) - 1, int(a), int(b)))
     return out
 
 
-#: An occurrence has at least so many visible characters, by kind; shorter runs are stray tags.
-LEAST = (6, 7, 7, 6, 5)
 _MODEL: list[Model] = []
 
 

@@ -1,12 +1,13 @@
 """Training of the personal-information model in NumPy: ``python -m vellum.llm.pii_train DOCUMENTS.parquet OUT.npz``.
 
-The model is fitted on a bounded sample of texts whose spans ``pii_labels`` marks: at most ``most_docs`` documents, all windows
-that hold a span and the share ``negatives`` of the others. The loss is the CRF's negative log-likelihood; its gradient comes
+The model is fitted on a bounded sample of texts whose spans ``pii_labels`` marks (at most ``most_docs`` documents, all windows
+that hold a span and the share ``negatives`` of the others) and on ``made`` texts with values of open vocabularies (``pii_synth``). The loss is the CRF's negative log-likelihood; its gradient comes
 from the forward-backward marginals and goes back through time in both directions. Adam with a cosine schedule.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 import time
@@ -15,6 +16,7 @@ import numpy as np
 
 from vellum.llm.pii import ALPHABET, KINDS, TAGS, Model, classes, found
 from vellum.llm.pii_labels import _ARABIC, _FIRST_END, _FORE, _LAST_END, spans
+from vellum.llm.pii_synth import Maker
 
 LENGTH = 224
 FORBIDDEN = -100.0
@@ -55,10 +57,14 @@ def varied(text: str, rng) -> tuple[str, list[tuple[str, int, int]]]:
             s = s[:near] + mid + s[-near:]
         put(s)
 
+    maker = Maker(rng)
     for kind, a, b in spans(text):
         gap(text[at:a])
         s = text[a:b]
-        if kind == "name" and rng.random() < 0.5:
+        maker.arabic = bool(_ARABIC_WORD.search(s))
+        if rng.random() < 0.4:
+            s = getattr(maker, kind)()
+        elif kind == "name" and rng.random() < 0.5:
             s = _NAME_WORD.sub(lambda m: _word(rng, m.group()[0] >= "ء", m.group().isupper()), s)
         elif kind == "idnum":
             s = re.sub("[0-9]", lambda m: str(rng.integers(0, 10)), s)
@@ -83,10 +89,11 @@ def labelled(text: str, known: list[tuple[str, int, int]] | None = None) -> tupl
     return ids.astype(np.int64), tags
 
 
-def windows(texts, negatives: float, rng, copies: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded training windows (ids, tags, size) of the texts and of ``copies`` variations of each."""
-    rows = []
-    for t, known in ((t, None) if not k else varied(t, rng) for t in texts for k in range(copies + 1)):
+def windows(texts, negatives: float, rng, copies: int, made: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Padded training windows (ids, tags, size) of the texts, of ``copies`` variations of each and of ``made`` made-up ones."""
+    rows, maker = [], Maker(rng)
+    own = ((t, None) if not k else varied(t, rng) for t in texts for k in range(copies + 1))
+    for t, known in itertools.chain(own, (maker.document() for _ in range(made))):
         ids, tags = labelled(t, known)
         for a in range(-int(rng.integers(0, LENGTH // 2)), len(ids), LENGTH * 3 // 4):
             lo, hi = max(0, a), min(len(ids), a + LENGTH)
@@ -236,11 +243,11 @@ def step(w, x, y, size):
     return loss, g
 
 
-def train(texts, hidden=24, embed=16, epochs=24, batch=96, rate=8e-3, negatives=0.12, copies=3, seed=1, minutes=1e9, log=print, save=None):
-    """Weights fitted to ``texts``. Training ends after ``epochs``, or by the schedule earlier if ``minutes`` run out."""
+def train(texts, hidden=24, embed=16, epochs=24, batch=96, rate=8e-3, negatives=0.12, copies=3, seed=1, minutes=1e9, made=0, warm=None, log=print, save=None):
+    """Weights fitted to ``texts``, from random ones or from the dict ``warm``. Training ends after ``epochs``, or by the schedule earlier if ``minutes`` run out."""
     rng = np.random.default_rng(seed)
-    x, y, size = windows(texts, negatives, rng, copies)
-    w = start(hidden, embed, rng)
+    x, y, size = windows(texts, negatives, rng, copies, made)
+    w = {k: v.copy() for k, v in warm.items()} if warm else start(hidden, embed, rng)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     log(f"{len(x)} windows, {(y > 0).any(1).sum()} with spans")
     began, t, total = time.time(), 0, epochs * -(-len(x) // batch)
@@ -268,13 +275,13 @@ def train(texts, hidden=24, embed=16, epochs=24, batch=96, rate=8e-3, negatives=
     return w
 
 
-def score(w, texts) -> dict[str, tuple[int, int, int]]:
-    """By kind: (right, missed, wrong) starts against the labels."""
+def score(w, texts, known=None) -> dict[str, tuple[int, int, int]]:
+    """By kind: (right, missed, wrong) starts against the labels, or against ``known`` spans of each text."""
     read = [classes(t) for t in texts]
     tags = Model(w).tag([r[0] for r in read])
     out = {k: [0, 0, 0] for k in KINDS}
-    for t, g, (ids, at) in zip(texts, tags, read, strict=True):
-        want = {(k, a) for k, a, _ in spans(t)}
+    for t, g, (ids, at), own in zip(texts, tags, read, known or [None] * len(texts), strict=True):
+        want = {(k, a) for k, a, _ in (spans(t) if own is None else own)}
         got = {(KINDS[k], int(at[a])) for k, a, _ in found(g, ids)} if len(ids) else set()
         for j, s in enumerate((want & got, want - got, got - want)):
             for k, _ in s:
@@ -282,15 +289,26 @@ def score(w, texts) -> dict[str, tuple[int, int, int]]:
     return {k: tuple(v) for k, v in out.items()}
 
 
-def main(source: str, target: str, most_docs: int = 12_000, **how) -> None:
+def main(source: str, target: str, most_docs: int = 12_000, warm: str | None = None, **how) -> None:
     import pyarrow.parquet as pq
 
+    if warm:
+        with np.load(warm) as z:
+            how["warm"] = {k: z[k] for k in z.files}
+
     texts = [t for t in pq.read_table(source, columns=["text"]).column("text").to_pylist()[:most_docs] if t]
     cut = len(texts) * 9 // 10
     w = train(texts[:cut], save=target, log=lambda s: print(s, flush=True), **how)
     np.savez_compressed(target, **w)
     print("held out:", score(w, texts[cut:]))
+    print("held-out vocabulary:", score(w, *held_out()))
+
+
+def held_out(n: int = 400, seed: int = 77) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
+    """Texts with values and frames that training never sees, and their spans."""
+    maker = Maker(np.random.default_rng(seed), held=True)
+    return tuple(zip(*(maker.document() for _ in range(n)), strict=True))
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3], **{k: float(v) if "." in v else int(v) for k, v in (a.split("=") for a in sys.argv[3:])})
+    main(*sys.argv[1:3], **{k: v if k == "warm" else float(v) if "." in v else int(v) for k, v in (a.split("=") for a in sys.argv[3:])})
