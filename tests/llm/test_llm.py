@@ -172,7 +172,7 @@ def test_split(spark):
 # 6 --------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("a", "b"), [("ab", "а​b"), ("ab c", "ab c "), ("ā", "ā"), ("ab", "ａｂ"), ("لا", "ﻻ"), ("رَّ", "رَّ"), ("بيت", "بیت"), ("بك", "بك­"), ("كتب", "کتب"), ("هى", "هی"), ("١٢٣", "۱۲۳"), ("fi", "ﬁ"), ("أ", "أ"), ("ئ", "ئ")])
+@pytest.mark.parametrize(("a", "b"), [("ab", "а​b"), ("ab c", "ab c "), ("ā", "ā"), ("ab", "ａｂ"), ("لا", "ﻻ"), ("رَّ", "رَّ"), ("بيت", "بیت"), ("بك", "بك­"), ("كتب", "کتب"), ("هى", "هی"), ("١٢٣", "۱۲۳"), ("fi", "ﬁ"), ("أ", "أ"), ("ئ", "ئ"), ("𝐀𝟏", "A1"), ("ℂa", "Ca"), ("ᎪB", "AB"), ("𞸁", "ب")])
 def test_alike(a, b):
     assert lookalike.looks(a) == lookalike.looks(b)
 
@@ -186,7 +186,7 @@ def test_pair_with_leading_space(spark):
     assert rows(lookalike.lookalike_pairs(spark.createDataFrame([(1, "abc", 1, 1, ""), (2, " abc", 1, 1, ""), (3, " abd", 1, 1, "")], TD))) == [(1, 2)]
 
 
-@pytest.mark.parametrize(("a", "b"), [("a", "A"), ("ب", "ت"), ("ا", "أ"), ("رَ", "ر"), ("ā", "a"), ("ḥ", "h"), ("بـت", "بت"), ("٣", "3"), ("۴", "٤"), ("بي", "بی"), ("كك", "کک"), ("x²", "x2")])
+@pytest.mark.parametrize(("a", "b"), [("a", "A"), ("ب", "ت"), ("ا", "أ"), ("رَ", "ر"), ("ā", "a"), ("ḥ", "h"), ("بـت", "بت"), ("٣", "3"), ("۴", "٤"), ("بي", "بی"), ("كك", "کک"), ("x²", "x2"), ("ı", "i"), ("①", "1")])
 def test_not_alike(a, b):
     assert lookalike.looks(a) != lookalike.looks(b)
 
@@ -199,6 +199,12 @@ def test_pairs(spark):
     assert lookalike.lookalike_pairs(td.filter("false")).count() == 0
 
 
+def test_collation_groups(spark):
+    """Classes are the collation's: what it equates is one class, digits and signs apart."""
+    td = spark.createDataFrame([(1, "q\u0323\u0307", 1, 1, ""), (2, "q\u0307\u0323", 1, 1, ""), (3, "٣", 1, 1, ""), (4, "3", 1, 1, ""), (5, "a-b", 1, 1, ""), (6, "ab", 1, 1, ""), (7, "A", 1, 1, ""), (8, "a", 1, 1, "")], TD)
+    assert rows(lookalike.lookalike_pairs(td)) == [(1, 2)]
+
+
 # 7 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -228,9 +234,24 @@ def test_near_pages(spark):
                     if x | y and len(x & y) * 100 >= least * len(x | y):
                         want.add((i, 1, 1, j, 1, 1))
     assert rows(neardup.near_page_pairs(df)) == sorted(want, key=repr)
+    assert rows(neardup.near_page_pairs(df, exact=True)) == sorted(want, key=repr)
     assert neardup.near_page_pairs(df.filter("false")).count() == 0
 
 
+def test_segments():
+    assert abs(neardup.segments_for(0.7) - 31) <= 2 and abs(neardup.segments_for(0.8) - 15) <= 2
+    assert neardup.segments_for(0.6) > neardup.segments_for(0.9) > 0
+
+
+def test_exact_pairs_reach_the_bound(spark):
+    rng = np.random.default_rng(8)
+    sets = [sorted({int(x) for x in rng.integers(1, 28, 40)}) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(sets)), "rep bigint, ids array<bigint>")
+    for bound in (0.5, 0.6, 0.7):
+        want = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(set(x) & set(y)) * 1000 >= round(bound * 1000) * len(set(x) | set(y))]
+        assert want and rows(neardup.similar_sets(df, bound, exact=True)) == sorted(want, key=repr)
+
+
 # 8 --------------------------------------------------------------------------------------------------------------------
 
 

@@ -165,7 +165,7 @@ def consolidate(edges: DataFrame) -> DataFrame:
         open_ = lambda c: (F.shiftright(F.col(c), bits) + F.lit(b0), F.col(c).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(g0))
         (b, g), (gb, gg) = open_("v"), open_("root")
         return out.select(b.alias("book_id"), g.alias("global_start"), gb.alias("group_book_id"), gg.alias("group_global_start"))
-    numbered = cut(_numbered(both.distinct(), ["book_id", "global_start"]))
+    numbered = cut(numbered(both.distinct(), ["book_id", "global_start"]))
     e = cut(e)
     for s in "st":
         e = e.join(numbered.select(F.col("book_id").alias(f"{s}_book_id"), F.col("global_start").alias(f"{s}_global_start"), F.col("no").alias(f"{s}_no")), [f"{s}_book_id", f"{s}_global_start"])
@@ -174,7 +174,7 @@ def consolidate(edges: DataFrame) -> DataFrame:
     return out.join(numbered.withColumnRenamed("no", "v"), "v").join(of, "root").select("book_id", "global_start", "group_book_id", "group_global_start")
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with ``no``, their rank in the order of distinct columns, by range partitions and their counts."""
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("mono")))
     counts = sorted(ranged.groupBy("part").agg(F.count("*"), F.min("mono")).collect())  # one row per partition

@@ -34,7 +34,9 @@ _WORD = re.compile(r"[^\W_]+")
 def _fold_table() -> dict[int, str | None]:
     """One step from a character to its folded form: without marks, look-alikes and case, digits by value."""
     out = dict(TABLE)
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x20000):
+        if 0xD800 <= cp < 0xE000:
+            continue
         c = chr(cp)
         s = TABLE.get(cp, c)
         if s is None:

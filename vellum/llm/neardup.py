@@ -5,7 +5,8 @@ are cut into segments of 23, the length of the perfect binary Golay code. The in
 segment (one, or about six) are its keys: words up to two errors apart share a key always, words a little further apart
 mostly. Errors spread over the segments, so some segment of a similar pair has few of them. A 12-bit index alone would bring
 together too many sets of a large collection, so each key also holds two min-hashes. Pairs that share a key and whose 128-bit
-sketches are near enough are compared exactly.
+sketches are near enough are compared exactly. What chance may miss at the very bound, 2 pairs in 100,000, an exact way finds:
+a join on the rarest ids of each set (``exact=True``).
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 from vellum.functions.cut import cut
 from vellum.functions.pages import KEY, mix64, unlist
+from vellum.llm.components import numbered
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 BITS = 23
-#: Segments for similarities of 0.7 and 0.8 or more. A pair right at the bound shares a key of some segment with a
-#: probability of 1 - (1 - q)^n, q = 0.61 * 0.7^2 = 0.30 and 0.805 * 0.8^2 = 0.51: misses of 2e-5 and 3e-5.
-SEGMENTS = {0.7: 30, 0.8: 15}
+#: A pair right at the bound shares no key with this probability at most.
+MISS = 2e-5
 SKETCH = 128
 #: Sets fingerprinted at once; each has some 200 keys and 1,000 min-hashes.
 ROWS = 1000
@@ -99,18 +100,32 @@ def minima(values: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def segments_for(bound: float) -> int:
+    """Segments so that a pair of this similarity shares a key but for the chance ``MISS``. The share of word pairs with a key in
+    common is measured on random errors; both min-hashes of a key agree with the bound's square."""
+    rng = np.random.default_rng(0)
+    flips = (rng.random((20_000, BITS)) < (1 - bound) / 2) @ (1 << np.arange(BITS, dtype=np.int64))
+    words = rng.integers(0, 1 << BITS, 20_000)
+    (x, nx), (y, ny) = keys(words), keys(words ^ flips)
+    met = np.zeros(len(words), bool)
+    for i in range(x.shape[1]):
+        for j in range(y.shape[1]):
+            met |= (x[:, i] == y[:, j]) & (i < nx) & (j < ny)
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-met.mean() * bound**2))))
+
+
 def _fingerprints(bound: float, seed: int):
-    segments = SEGMENTS[bound]
+    segments = segments_for(bound)
 
     def run(batches):
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids, values, n = batch.column("rep"), *unlist(batch.column("ids"))
             if not len(ids):
                 continue
-            out_id, out_key, out_f = [], [], [[], []]
-            h = minima(values, n, segments * (BITS + 2) + SKETCH, seed)
+            out_id, out_key = [], []
+            h = minima(values, n, segments * (BITS + 2), seed)
             bit = (h & np.uint32(1)).astype(np.uint64)
-            sketch = [sum(bit[segments * (BITS + 2) + k * 64 + i] << np.uint64(i) for i in range(64)) for k in range(2)]
             for s in range(segments):
                 rows = slice(s * (BITS + 2), s * (BITS + 2) + BITS)
                 word = sum(bit[rows][i] << np.uint64(i) for i in range(BITS)).astype(np.int64)
@@ -121,10 +136,20 @@ def _fingerprints(bound: float, seed: int):
                 with np.errstate(over="ignore"):
                     key = mix64(mix64(low)[row] + (index[keep].astype(np.uint64) | np.uint64(s << 12) | np.uint64(seed << 32)))
                 out_id.append(row), out_key.append(key)
-                for k in range(2):
-                    out_f[k].append(sketch[k][row])
-            take = pa.array(np.concatenate(out_id))
-            yield pa.RecordBatch.from_arrays([ids.take(take), *(pa.array(np.concatenate(x).view(np.int64)) for x in (out_key, *out_f))], names=["rep", "key", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(out_id))), pa.array(np.concatenate(out_key).view(np.int64))], names=["rep", "key"])
+
+    return run
+
+
+def _sketches(seed: int):
+    def run(batches):
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            values, n = unlist(batch.column("ids"))
+            if not batch.num_rows:
+                continue
+            bit = (minima(values, n, SKETCH, seed + 100) & np.uint32(1)).astype(np.uint64)
+            words = [sum(bit[k * 64 + i] << np.uint64(i) for i in range(64)).view(np.int64) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), *(pa.array(w) for w in words)], names=["rep", "ids", "f0", "f1"])
 
     return run
 
@@ -134,43 +159,61 @@ def _reach(bound: float) -> int:
     return int(np.ceil(SKETCH * p + SLACK * np.sqrt(SKETCH * p * (1 - p))))
 
 
-def similar_sets(sets: DataFrame, bound: float, seed: int = 1) -> DataFrame:
-    """(a, b), a < b: pairs of rows (``rep`` bigint, ``ids`` array of distinct bigints) with at least the share ``bound``
-    (0.7 or 0.8) of all their ids in common. Empty and null arrays are like nothing. Equal arrays should come in once, with
-    the rows that hold them kept aside, as ``near_pages`` does."""
+def similar_sets(sets: DataFrame, bound: float, seed: int = 1, exact: bool = False) -> DataFrame:
+    """(a, b), a < b: pairs of rows (``rep`` bigint, ``ids`` array of distinct bigints) with at least the share ``bound`` of all
+    their ids in common. Empty and null arrays are like nothing. Equal arrays should come in once, with the rows that hold them
+    kept aside, as ``near_pages`` does. With ``exact`` the pairs to compare come from ``rare_id_pairs`` and none is missed."""
     sets = sets.filter(F.size("ids") > 0)
-    marked = sets.mapInArrow(_fingerprints(bound, seed), "rep bigint, key bigint, f0 bigint, f1 bigint")
-    a, b = (marked.select("key", F.col("rep").alias(x), F.col("f0").alias(f"{x}0"), F.col("f1").alias(f"{x}1")) for x in "ab")
-    near = f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {_reach(bound)}"
-    pairs = a.join(b, "key").filter(f"a < b and {near}").select("a", "b").distinct()
-    of = lambda x: sets.select(F.col("rep").alias(x), F.col("ids").alias(f"ids_{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("ids_a", "ids_b")))
+    if exact:
+        pairs, near = rare_id_pairs(sets, bound), "true"
+    else:
+        # a row of the join is two numbers; sketches are fetched for distinct pairs only
+        marked = sets.mapInArrow(_fingerprints(bound, seed), "rep bigint, key bigint")
+        a, b = (marked.select("key", F.col("rep").alias(x)) for x in "ab")
+        pairs, near = a.join(b, "key").filter("a < b").select("a", "b").distinct(), f"bit_count(f0_a ^ f0_b) + bit_count(f1_a ^ f1_b) <= {_reach(bound)}"
+        sets = sets.mapInArrow(_sketches(seed), "rep bigint, ids array<bigint>, f0 bigint, f1 bigint")
+    if exact:
+        sets = sets.select("rep", "ids")
+    of = lambda x: sets.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in sets.columns if c != "rep"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").filter(near).withColumn("shared", F.size(F.array_intersect("ids_a", "ids_b")))
     all_ = F.size("ids_a") + F.size("ids_b") - F.col("shared")
-    return both.filter(F.col("shared") * 100 >= all_ * round(bound * 100)).select("a", "b")
+    return both.filter(F.col("shared") * 1000 >= all_ * round(bound * 1000)).select("a", "b")
+
+
+def rare_id_pairs(sets: DataFrame, bound: float) -> DataFrame:
+    """(a, b), a < b: all pairs that may reach the bound. Two such sets share one of their first n - ceil(bound * n) + 1 ids
+    in the order of rarity, and neither is larger than the other's size over the bound."""
+    each = sets.select("rep", F.size("ids").alias("n"), F.explode("ids").alias("id"))
+    rare = each.groupBy("id").agg(F.count("*").alias("df"))
+    order = each.join(rare, "id").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "id"))).alias("o"))
+    share = round(bound * 1000)
+    first = order.select("rep", "n", F.explode(F.slice("o", 1, F.expr(f"cast(n - (n * {share} + 999) div 1000 + 1 as int)"))).alias("x")).select("rep", "n", F.col("x.id").alias("id"))
+    a, b = (first.select("id", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return a.join(b, "id").filter(f"a < b and n_a * 1000 >= n_b * {share} and n_b * 1000 >= n_a * {share}").select("a", "b").distinct()
 
 
-def near_pages(page_lemmas: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
+def near_pages(page_lemmas: DataFrame, least: int = 30, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): each page with its class ``rep``, and the pairs (a, b) of classes that are nearly the same.
 
-    Pages with the same sets of lemmas and of roots are one class. Pages with fewer than ``least`` lemma_ids, or a null array
-    of them, are left out; null roots are no roots; 0 and null are no ids; repeated pages count once. Two classes are linked
-    if at least 70 % of their lemmas, or 80 % of their roots, are common to both.
+    Pages with the same sets of lemmas and of roots are one class; a class is numbered by its place in the order of the 128 bits
+    of hash that name its content, so two contents never share a number. Pages with fewer than ``least`` lemma_ids, or a null
+    array of them, are left out; null roots are no roots; 0 and null are no ids; repeated pages count once. Two classes are
+    linked if at least 70 % of their lemmas, or 80 % of their roots, are common to both.
     """
     clean = lambda c: F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast("array<bigint>")), lambda x: x.isNotNull() & (x != 0))))
     pages = page_lemmas.filter(F.size("lemma_ids") >= least).select(*KEY, clean("lemma_ids").alias("l"), clean("root_ids").alias("r")).dropDuplicates(KEY)
-    pages = pages.withColumn("h", F.xxhash64("l", "r")).withColumn("g", F.xxhash64("r", "l", F.lit(7)))
-    # two 64-bit hashes name the content; the class is numbered by the first of them if no other content has it
-    pages = cut(pages)
-    members = pages.select(*KEY, F.xxhash64("h", "g").alias("rep"))
-    classes = cut(pages.select(F.xxhash64("h", "g").alias("rep"), "l", "r").dropDuplicates(["rep"]))
-    by_lemma = similar_sets(classes.select("rep", F.col("l").alias("ids")), 0.7, 1)
-    by_root = similar_sets(classes.select("rep", F.col("r").alias("ids")), 0.8, 2)
+    pages = cut(pages.withColumn("h", F.xxhash64("l", "r")).withColumn("g", F.xxhash64("r", "l", F.lit(7))))
+    number = cut(numbered(pages.select("h", "g").distinct(), ["h", "g"])).withColumnRenamed("no", "rep")
+    members = cut(pages.select(*KEY, "h", "g").join(number, ["h", "g"]).select(*KEY, "rep"))
+    classes = cut(pages.dropDuplicates(["h", "g"]).join(number, ["h", "g"]).select("rep", "l", "r"))
+    by_lemma = similar_sets(classes.select("rep", F.col("l").alias("ids")), 0.7, 1, exact)
+    by_root = similar_sets(classes.select("rep", F.col("r").alias("ids")), 0.8, 2, exact)
     return members, by_lemma.unionByName(by_root).distinct()
 
 
-def near_page_pairs(page_lemmas: DataFrame) -> DataFrame:
+def near_page_pairs(page_lemmas: DataFrame, exact: bool = False) -> DataFrame:
     """Every two pages that are nearly the same, the smaller key first; pages of one class included."""
-    members, links = near_pages(page_lemmas)
+    members, links = near_pages(page_lemmas, exact=exact)
     side = lambda x: members.select(F.col("rep").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in KEY))
     order = lambda x: F.struct(*(F.col(f"{k}_{x}") for k in KEY))
     out = [f"{k}_{x}" for x in "ab" for k in KEY]
