@@ -12,57 +12,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.cut import sized_join
-from vellum.functions.pages import one_row_per_page, unpack
+from vellum.functions.cut import cut
+from vellum.functions.pages import unlist
+from vellum.operators.tokens import page_lemmas, token_dim
 
-ROUNDS = 60
 TINY = 1e-9
+#: A term's fit ends when a round adds less than this to the log-likelihood of a record.
+GAIN = 1e-9
 
 
-def _token_counts(batches):
-    """(book, token, n) of each batch of pages, counted before anything is shuffled."""
+def _lemma_counts(batches):
+    """(book, lemma, n) of each batch of pages, counted before anything is shuffled."""
     for batch in batches:
-        flat, at = unpack(batch.column("token_ids"))
-        book = np.asarray(batch.column("book_id").fill_null(-1), np.int64)
-        null = np.asarray(batch.column("book_id").is_null())
+        flat, at = unlist(batch.column("lemma_ids"))
+        book = np.asarray(batch.column("book_id").fill_null(0), np.int64)
         rows = np.repeat(np.arange(len(book)), np.diff(at))
-        keep = ~null[rows]
+        keep = (flat != 0) & ~np.asarray(batch.column("book_id").is_null())[rows]
         books, code = np.unique(book[rows[keep]], return_inverse=True)
-        pair, n = np.unique((code.astype(np.uint64) << np.uint64(32)) | flat[keep], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(books[(pair >> np.uint64(32)).astype(np.int64)], pa.int64()), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["book_id", "token_id", "n"])
+        lemmas, term = np.unique(flat[keep], return_inverse=True)
+        pair, n = np.unique(code.astype(np.int64) * max(1, len(lemmas)) + term, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(books[pair // max(1, len(lemmas))], pa.int64()), pa.array(lemmas[pair % max(1, len(lemmas))], pa.int64()), pa.array(n.astype(np.int64))], names=["book_id", "lemma_id", "n"])
 
 
 def book_terms(page_tokens: DataFrame, definitions: DataFrame) -> DataFrame:
     """(book_id, lemma_id, tf): occurrences of every lemma in every book; lemma null or 0 is no term."""
-    counts = one_row_per_page(page_tokens, "token_ids").mapInArrow(_token_counts, "book_id bigint, token_id bigint, n bigint")
-    counts = counts.groupBy("book_id", "token_id").agg(F.sum("n").alias("n"))
-    lemma = definitions.filter("lemma_id <> 0 and id is not null").select(F.col("id").alias("token_id"), "lemma_id").dropDuplicates(["token_id"])
-    return sized_join(counts, lemma, "token_id", "inner").groupBy("book_id", "lemma_id").agg(F.sum("n").alias("tf"))
+    pages = page_lemmas(page_tokens, token_dim(definitions)).select("book_id", "lemma_ids")
+    return pages.mapInArrow(_lemma_counts, "book_id bigint, lemma_id bigint, n bigint").groupBy("book_id", "lemma_id").agg(F.sum("n").alias("tf"))
 
 
 def fit(k: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two-Poisson mixtures of many histograms at once: counts ``k`` seen ``n`` times; histogram i is ``at[i]:at[i+1]``.
 
-    Returns (share of the high component, high rate, low rate) per histogram.
+    Each histogram is fitted until its likelihood stands still, those that do leaving the rest to go on. Returns (share of the
+    high component, high rate, low rate) per histogram.
     """
-    seg, size = at[:-1], np.diff(at)
-    add = lambda x: np.add.reduceat(x, seg)
-    total, mass = add(n), add(n * k)
-    mean = mass / np.maximum(total, 1)
-    r = (k > np.repeat(mean, size)).astype(float)
-    for _ in range(ROUNDS):
-        high = add(n * r)
+    out = np.zeros((3, len(at) - 1))
+    which, last = np.arange(len(at) - 1), np.full(len(at) - 1, -np.inf)
+    r = None
+    while len(which):
+        seg, size = at[:-1], np.diff(at)
+        add = lambda x: np.add.reduceat(x, seg)  # noqa: E731, B023
+        total, mass = add(n), add(n * k)
+        if r is None:
+            r = (k > np.repeat(mass / np.maximum(total, 1), size)).astype(float)
+        high, heavy = add(n * r), add(n * r * k)
         share = np.clip(high / np.maximum(total, 1), TINY, 1 - TINY)
-        up = np.maximum(add(n * r * k) / np.maximum(high, TINY), TINY)
-        low = np.maximum((mass - add(n * r * k)) / np.maximum(total - high, TINY), TINY)
-        low = np.minimum(low, up)
-        r = posterior(k, np.repeat(share, size), np.repeat(up, size), np.repeat(low, size))
-    return share, up, low
+        up = np.maximum(heavy / np.maximum(high, TINY), TINY)
+        low = np.minimum(np.maximum((mass - heavy) / np.maximum(total - high, TINY), TINY), up)
+        x, y = (np.repeat(np.log(p), size) - np.repeat(m, size) + k * np.repeat(np.log(m), size) for p, m in ((share, up), (1 - share, low)))
+        r = 1 / (1 + np.exp(-np.clip(x - y, -700, 700)))
+        likely = add(n * (np.maximum(x, y) + np.log1p(np.exp(-np.abs(x - y)))))
+        out[:, which] = share, up, low
+        going = likely - last > GAIN * total
+        keep = np.repeat(going, size)
+        k, n, r, which, last = k[keep], n[keep], r[keep], which[going], likely[going]
+        at = np.concatenate([[0], np.cumsum(size[going])])
+    return tuple(out)
 
 
 def posterior(k, share, up, low):
     """Probability that a count comes from the high component."""
-    odds = np.log(share) - np.log1p(-share) - (up - low) + k * (np.log(up) - np.log(low))
+    odds = (np.log(share) - up + k * np.log(up)) - (np.log(1 - share) - low + k * np.log(low))
     return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
@@ -95,7 +105,7 @@ def distinctive_terms(page_tokens: DataFrame, definitions: DataFrame) -> DataFra
     Books without tokens count as records. Pages with null, empty or broken blobs hold no tokens; repeated pages count once;
     empty tables give no rows.
     """
-    tf = book_terms(page_tokens, definitions)
+    tf = cut(book_terms(page_tokens, definitions))
     records = page_tokens.filter("book_id is not null").select("book_id").distinct().count()
     hist = tf.groupBy("lemma_id", "tf").agg(F.count("*").alias("n")).groupBy("lemma_id").agg(F.collect_list(F.struct("tf", "n")).alias("hist"), F.sum("n").alias("df"))
     score = hist.mapInArrow(_fitted(records), "lemma_id bigint, tf bigint, score double, df bigint")

@@ -11,39 +11,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.cut import sized_join
-from vellum.functions.pages import KEY, one_row_per_page, unpack
+from vellum.functions.cut import cut
+from vellum.functions.pages import KEY, unlist
+from vellum.operators.tokens import page_lemmas, token_dim
 
 
 def _page_counts(batches):
-    """(page key, token, n): the distinct tokens of each page."""
+    """(kind, term, page, n): the distinct lemmas (kind 0) and roots (kind 1) of each page."""
     for batch in batches:
-        flat, at = unpack(batch.column("token_ids"))
-        rows = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(at))
-        pair, n = np.unique((rows << np.uint64(32)) | flat, return_counts=True)
-        take = pa.array((pair >> np.uint64(32)).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in KEY), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=[*KEY, "token_id", "n"])
+        page = np.asarray(batch.column("page"), np.int64)
+        for kind, column in enumerate(("lemma_ids", "root_ids")):
+            flat, at = unlist(batch.column(column))
+            rows = np.repeat(np.arange(len(page)), np.diff(at))
+            rows, flat = rows[flat != 0], flat[flat != 0]
+            terms, code = np.unique(flat, return_inverse=True)
+            pair, n = np.unique(code.astype(np.int64) * max(1, len(page)) + rows, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), kind, np.int32)), pa.array(terms[pair // max(1, len(page))], pa.int64()), pa.array(page[pair % max(1, len(page))], pa.int64()), pa.array(n.astype(np.int32))], names=["kind", "term_id", "page", "n"])
 
 
 def _scan(batches):
-    """Partial (kind, term, occurrences, records) of one sorted range."""
+    """Partial (kind, term, occurrences, pages) of one sorted range, by the lengths of its runs."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind, term, *key = (np.asarray(batch.column(c).fill_null(-(2**62)), np.int64) for c in ("kind", "term_id", *KEY))
-        n = np.asarray(batch.column("n"), np.int64)
+        kind, term, page, n = (np.asarray(batch.column(c), np.int64) for c in ("kind", "term_id", "page", "n"))
         new_term = np.ones(len(term), bool)
         new_term[1:] = (kind[1:] != kind[:-1]) | (term[1:] != term[:-1])
         new_pair = new_term.copy()
-        for c in key:
-            new_pair[1:] |= c[1:] != c[:-1]
-        here = (kind[0], term[0], *(c[0] for c in key))
-        if here == last:
+        new_pair[1:] |= page[1:] != page[:-1]
+        if (kind[0], term[0], page[0]) == last:
             new_pair[0] = False  # the batch goes on within a record
-        last = (kind[-1], term[-1], *(c[-1] for c in key))
+        last = (kind[-1], term[-1], page[-1])
         start = np.nonzero(new_term)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(kind[start]), pa.array(term[start]), pa.array(np.add.reduceat(n, start)), pa.array(np.add.reduceat(new_pair.astype(np.int64), start))], names=["kind", "term_id", "occurrences", "pages"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind[start].astype(np.int32)), pa.array(term[start]), pa.array(np.add.reduceat(n, start)), pa.array(np.add.reduceat(new_pair.astype(np.int64), start))], names=["kind", "term_id", "occurrences", "pages"])
 
 
 def term_counts(page_tokens: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -52,12 +53,11 @@ def term_counts(page_tokens: DataFrame, definitions: DataFrame) -> DataFrame:
     Each page counts once, however often it is repeated. Null and 0 are no terms. Pages without tokens and tokens without a
     definition add nothing; empty tables give no rows.
     """
-    pairs = one_row_per_page(page_tokens, "token_ids").mapInArrow(_page_counts, "book_id bigint, part_index bigint, page_id bigint, token_id bigint, n bigint")
-    of = definitions.filter("id is not null").select(F.col("id").alias("token_id"), "lemma_id", "root_id").dropDuplicates(["token_id"])
-    terms = F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("kind"), F.col("lemma_id").alias("term_id")), F.struct(F.lit(1).cast("bigint").alias("kind"), F.col("root_id").alias("term_id"))))
-    pairs = sized_join(pairs, of, "token_id", "inner").select(terms.alias("t"), *KEY, "n").select("t.*", *KEY, "n").filter("term_id <> 0")
-    order = ["kind", "term_id", *KEY]
-    partial = pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, "kind bigint, term_id bigint, occurrences bigint, pages bigint")
+    pages = page_lemmas(page_tokens, token_dim(definitions)).withColumn("page", F.monotonically_increasing_id())
+    # stored, for range partitioning reads its input twice
+    pairs = cut(pages.select("page", "lemma_ids", "root_ids").mapInArrow(_page_counts, "kind int, term_id bigint, page bigint, n int"))
+    order = ["kind", "term_id", "page"]
+    partial = pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, "kind int, term_id bigint, occurrences bigint, pages bigint")
     total = partial.groupBy("kind", "term_id").agg(F.sum("occurrences").alias("occurrences"), F.sum("pages").alias("pages"))
     return total.select(F.when(F.col("kind") == 0, "lemma").otherwise("root").alias("kind"), "term_id", "occurrences", "pages")
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.cut import cut
+from vellum.functions.pages import BASES, run_hashes
 from vellum.llm.lookalike import LATIN_TWINS, TABLE
-from vellum.llm.spans import BASES, run_hashes
 
 #: Test items are worked through in blocks of at most so many characters; each block is one pass over the documents.
 BLOCK_CHARS = 4_000_000

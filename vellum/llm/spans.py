@@ -13,36 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.pages import KEY, mix64, one_row_per_page, unpack
+from vellum.functions.pages import BASES, KEY, one_row_per_page, run_hashes, unpack
 
 PAGE = "book_id bigint, part_index bigint, page_id bigint"
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-def run_hashes(x: np.ndarray, length: int, base: int) -> np.ndarray:
-    """Polynomial hashes of all runs of ``length`` values, built by doubling."""
-    with np.errstate(over="ignore"):
-        have, power, size = mix64(x + np.uint64(1)), np.uint64(base), 1
-        out, done = None, 0
-        rest = length
-        while rest:
-            if rest & 1:
-                if out is None:
-                    out, done = have, size
-                else:
-                    m = len(x) - (done + size) + 1
-                    if m <= 0:
-                        return np.zeros(0, np.uint64)
-                    out = out[:m] * power + have[done : done + m]
-                    done += size
-            rest >>= 1
-            if rest:
-                m = len(x) - 2 * size + 1
-                if m <= 0:
-                    return np.zeros(0, np.uint64)
-                have = have[:m] * power + have[size : size + m]
-                power, size = power * power, 2 * size
-        return mix64(out)
 
 
 def anchors(flat: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,6 +6,21 @@ _PAGES = "pages as (select book_id, part_index, page_id, any_value(token_ids) as
 _TOKS = """toks as (select book_id, part_index, page_id, i as pos, cast('0x' || substr(h, 8*i+7, 2) || substr(h, 8*i+5, 2) || substr(h, 8*i+3, 2) || substr(h, 8*i+1, 2) as bigint) as token_id
  from (select book_id, part_index, page_id, hex(t) as h, unnest(range(octet_length(t) // 4)) as i from pages where octet_length(t) % 4 = 0))"""
 _DEFS = "defs as (select id as token_id, any_value(lemma_id) as lemma_id, any_value(root_id) as root_id from token_definitions where id is not null group by id)"
+#: The mixture of each term, one round of its fit per recursive step, until a round adds less than 1e-9 to a record's log-likelihood.
+_FIT = """tf as (select book_id, lemma_id, count(*) as tf from toks join defs using (token_id) where lemma_id <> 0 group by all), books as (select count(distinct book_id) as b from page_tokens),
+ hist as (select lemma_id, tf as k, count(*) as n from tf group by all), dfs as (select lemma_id, sum(n)::bigint as df from hist group by 1),
+ whole as (select lemma_id, 0 as k, greatest(b - df, 0) as n from dfs, books union all select lemma_id, k, n from hist),
+ lists as (select lemma_id, list(k::double order by k) as ks, list(n::double order by k) as ns from whole group by 1),
+ first_ as (select lemma_id, ks, ns, list_sum(ns) as total, list_dot_product(ks, ns) as mass from lists),
+ em as (select lemma_id, 0 as round, list_transform(ks, lambda k: case when k > mass / greatest(total, 1) then 1.0 else 0.0 end)::double[] as r, 0::double as share, 0::double as up, 0::double as low, '-infinity'::double as ll, true as going from first_
+ union all select lemma_id, round, list_transform(d, lambda x: 1 / (1 + exp(-least(greatest(x[1] - x[2], -700), 700))))::double[], share, up, low, lik, lik - ll > 1e-9 * total from (
+  select *, list_dot_product(ns, list_transform(d, lambda x: greatest(x[1], x[2]) + ln(1 + exp(-abs(x[1] - x[2]))))::double[]) as lik from (
+   select *, list_transform(ks, lambda k: [ln(share) - up + k * ln(up), ln(1 - share) - low + k * ln(low)]) as d from (
+    select *, least(greatest((mass - heavy) / greatest(total - high, 1e-9), 1e-9), up) as low from (
+     select *, least(greatest(high / greatest(total, 1), 1e-9), 1 - 1e-9) as share, greatest(heavy / greatest(high, 1e-9), 1e-9) as up from (
+      select e.lemma_id, e.round + 1 as round, e.ll, f.ks, f.ns, f.total, f.mass, list_dot_product(f.ns, e.r) as high, list_dot_product(list_transform(list_zip(f.ns, f.ks), lambda z: z[1] * z[2])::double[], e.r) as heavy
+      from em e join first_ f using (lemma_id) where e.going)))))),
+ fitted as (select lemma_id, arg_max(share, round) as share, arg_max(up, round) as up, arg_max(low, round) as low from em group by 1)"""
 _COUNTS = f"""{_PAGES}, {_TOKS}, {_DEFS}, occ as (select 'lemma' as kind, lemma_id as term_id, book_id, part_index, page_id from toks join defs using (token_id) where lemma_id <> 0
  union all select 'root', root_id, book_id, part_index, page_id from toks join defs using (token_id) where root_id <> 0),
  cnt as (select kind, term_id, count(*) as occurrences, count(distinct (book_id, part_index, page_id)) as pages from occ group by all),
@@ -31,6 +46,7 @@ def oracle_sql() -> dict[str, str]:
  link as (select (a, b) as u, (c, d) as v from e union select (c, d), (a, b) from e), reach as (select u as s, u as t from link union select r.s, l.v from reach r join link l on l.u = r.t)
  select s[1] as book_id, s[2] as global_start, min(t)[1] as group_book_id, min(t)[2] as group_global_start from reach group by s""",
         "p2_found": f"with {_PAGES}, {_TOKS}, {_DEFS}, tf as (select book_id, lemma_id, count(*) as tf from toks join defs using (token_id) where lemma_id <> 0 group by all) select book_id, lemma_id from tf where tf >= 6 and lemma_id in (select lemma_id from tf group by 1 having count(*) between 2 and 3)",
+        "p2_scores": f"with recursive {_PAGES}, {_TOKS}, {_DEFS}, {_FIT} select book_id, lemma_id, tf, df, round(1 / (1 + exp(-least(greatest((ln(share) - up + tf * ln(up)) - (ln(1 - share) - low + tf * ln(low)), -700), 700))), 4) as score from tf join dfs using (lemma_id) join fitted using (lemma_id)",
         "p3_found": f"with {_COUNTS} select kind, term_id, mark from marked where mark in ('rare', 'common')",
         "p3_counts": f"with {_COUNTS} select kind, term_id, occurrences, pages, mark from marked",
         "p4_found": f"with {_RUNS} select * from spans",
