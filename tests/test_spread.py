@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from vellum.functions.cut import spread_join
 from vellum.operators import edges as E
 from vellum.operators import tokens, windows
 from vellum.operators.align import window_alignments
@@ -27,6 +28,17 @@ def test_numbers_of_a_group_with_most_rows(spark):
     assert E.numbered_within(df.filter("false"), ["g"], ["o"], "n").count() == 0
 
 
+def test_join_of_a_key_with_most_rows(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).alias("g"), "id")
+    right = left.groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("g <> 9")
+    for how in ("inner", "left_semi"):
+        want, got = left.join(right.drop("n"), ["g"], how), spread_join(left, right, ["g"], how, per=100)
+        assert rows(got) == rows(want) and got.columns == want.columns
+    salted = spread_join(left, right, ["g"], per=100)
+    plan = salted._jdf.queryExecution().toString()
+    assert "part" in plan and spread_join(left, right, ["g"], per=10**6)._jdf.queryExecution().toString().count("pmod") == 0
+
+
 def _edge(k, a, b, start, end):
     page = {"part_index": 1, "page_id": 1}
     side = lambda s, book: {f"{s}_book_id": book, f"{s}_start_page": page, f"{s}_start_offset": 0, f"{s}_end_page": page, f"{s}_end_offset": 0, f"{s}_global_start": start, f"{s}_global_end": end}

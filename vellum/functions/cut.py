@@ -63,3 +63,17 @@ def sized_join(big: DataFrame, side: DataFrame, on, how: str = "left", row_bytes
     """Join, broadcasting ``side`` only if its counted rows times ``row_bytes`` fit ``limit``; else a shuffled join."""
     small = side.count() * row_bytes <= limit
     return big.join(F.broadcast(side) if small else side.hint("merge"), on, how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", per: int = 500_000) -> DataFrame:
+    """Join with a side that has each key once and, in ``n``, the rows of the left that hold it. A key with more than ``per`` of
+    them is split into parts of that size, its one row going to each part; ``n`` itself is left out."""
+    right = once(right)
+    hot = right.filter(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("parts"))
+    if hot.isEmpty():
+        return left.join(right.drop("n"), on, how)
+    # there are at most as many hot keys as rows over ``per``; their table is broadcast only if it is small by count
+    part = F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("parts"), F.lit(1)))
+    salted = sized_join(left, hot, on).withColumn("part", part.cast("int")).drop("parts")
+    copies = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / per).cast("int"), F.lit(1)) - 1))).drop("n")
+    return salted.join(copies, [*on, "part"], how).drop("part")
