@@ -144,10 +144,14 @@ def test_spans(spark):
     text = [int(x) for x in rng.integers(1, 50, 400)]
     p = [(1, 1, 1, text[:200]), (1, 1, 2, text[50:74]), (2, 1, 1, [9, *text[50:73], 8]), (2, 1, 2, text[100:150] + text[20:45]), (3, 1, 1, [7] * 60), (3, 1, 2, text[300:330] * 2), (4, 1, 1, [7] * 24), (5, 1, 1, None), (5, 1, 2, b"abcde"), (5, 1, 3, []), (6, 1, 1, text[:200]), (6, 1, 1, text[:200])]
     df = pages(spark, *p)
-    assert rows(spans.stretches(spans.shared_runs(df))) == brute_spans(p, 24)
-    s = {(r.book_id, r.page_id): (r.n_tokens, r.n_shared, r.n_later) for r in spans.shared_fraction(df).collect()}
-    assert s[1, 1] == (200, 200, 0) and s[6, 1] == (200, 200, 200) and s[5, 1] == (0, 0, 0) and s[2, 1] == (25, 0, 0)
-    assert spans.stretches(spans.shared_runs(df.filter("false"))).count() == 0
+    df = df.unionByName(pages(spark, (None, 1, 2, text[:40]), (1, None, 2, text[:40])))
+    p += [(None, 1, 2, text[:40]), (1, None, 2, text[:40])]
+    assert rows(spans.shared_stretches(df)) == brute_spans(p, 24)
+    s = {(r.book_id, r.page_id): (r.n_tokens, r.n_shared, r.n_later) for r in spans.shared_fraction(df).collect() if r.part_index and r.book_id}
+    assert s[1, 1] == (200, 200, 40) and s[6, 1] == (200, 200, 200) and s[5, 1] == (0, 0, 0) and s[2, 1] == (25, 0, 0)
+    left = {(r.book_id, r.part_index, r.page_id): r.token_ids for r in spans.without_later(df).collect()}
+    assert left[6, 1, 1] == [] and left[1, 1, 1] == text[40:200] and left[2, 1, 1] == [9, *text[50:73], 8] and left[5, 1, 2] == [] and left[None, 1, 2] == text[:40] and left[1, None, 2] == []
+    assert spans.shared_stretches(df.filter("false")).count() == spans.without_later(df.filter("false")).count() == 0
 
 
 # 5 --------------------------------------------------------------------------------------------------------------------
@@ -164,6 +168,18 @@ def test_split(spark):
     assert {k: sorted(v) for k, v in got.items()} == {(1, 1): [(0, 0, 380), (1, 340, 401)], (1, 2): [(0, 10, 380), (1, 340, 740), (2, 700, 770), (3, 730, 1130), (4, 1090, 1275)], (8, 4): [(0, 0, 400), (1, 360, 760), (2, 720, 900)]}
     halves = split.split_windows(df, pt, how=split.bisect).collect()
     assert all(r.piece_end - r.piece_start <= 400 for r in halves) and {(r.book_id, r.window_idx) for r in halves} == set(got)
+    of = defaultdict(list)
+    for r in halves:
+        of[r.book_id, r.window_idx].append((r.piece_start, r.piece_end))
+    ends = {0, 100, 350, 380, 770, 1270, 1275}
+    for (b_id, i), lo, hi in (((1, 1), 0, 401), ((1, 2), 10, 1275), ((8, 4), 0, 900)):
+        x = sorted(of[b_id, i])
+        assert x[0][0] == lo and x[-1][1] == hi and all(b[0] == a[1] - 40 for a, b in zip(x, x[1:], strict=False))
+        assert b_id == 8 or all(a[1] in ends or not any(a[1] - 40 < e < a[1] + 40 for e in ends) for a in x)
+    parts = pages(spark, (1, 1, 1, [1] * 300), (1, 1, 2, [1] * 100), (1, 2, 1, [1] * 100), (1, 2, 2, [1] * 100))
+    one = spark.createDataFrame([w(0, 0, 600)], cols)
+    # the part's change at 400 is stronger than the page's break at 300, which is the middle
+    assert sorted(tuple(r)[2:] for r in split.split_windows(one, parts, how=split.bisect).collect()) == [(0, 0, 300), (1, 260, 400), (2, 360, 600)]
     assert split.split_windows(df.filter("false"), pt).count() == 0 and split.split_windows(df, pt.filter("false")).count() > 0
     with pytest.raises(ValueError):
         split.split_windows(df, pt, 40, 40)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.cut import cut, spread_join
 from vellum.functions.pages import BASES, KEY, one_row_per_page, run_hashes, unpack
 
 PAGE = "book_id bigint, part_index bigint, page_id bigint"
@@ -46,8 +47,7 @@ def _anchor_rows(length: int):
             _, row, low = anchors(flat, at, length)
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (low[1:] != low[:-1])
-            take = pa.array(row[new])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in KEY), _signed(low[new])], names=[*KEY, "anchor"])
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(row[new])), _signed(low[new])], names=["page", "anchor"])
 
     return run
 
@@ -61,43 +61,45 @@ def _run_rows(length: int):
             keep = np.isin(low, shared)
             start, row = start[keep], row[keep]
             a, b = (run_hashes(flat.astype(np.uint64), length, x)[start] for x in BASES) if len(start) else (low[:0], low[:0])
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in KEY), pa.array(start - at[row]), _signed(a), _signed(b)], names=[*KEY, "pos", "ha", "hb"])
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(row)), pa.array(start - at[row]), _signed(a), _signed(b)], names=["page", "pos", "ha", "hb"])
 
     return run
 
 
-def _uid():
-    return F.xxhash64(*KEY)
+def numbered_pages(page_tokens: DataFrame) -> DataFrame:
+    """(page, page key, token_ids) of each page once, stored; ``page`` numbers the pages in the order of their keys, nulls first,
+    so that pages with a null in the key are told apart like any others."""
+    once_each = one_row_per_page(page_tokens, "token_ids")
+    return cut(once_each.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("page", F.monotonically_increasing_id()))
 
 
-def shared_runs(page_tokens: DataFrame, length: int = 24) -> DataFrame:
-    """(page key, pos, first): every run of ``length`` tokens that stands on at least two pages; ``first`` marks the one that
-    comes first in the order of page key and position.
+def page_runs(pages: DataFrame, length: int = 24) -> DataFrame:
+    """(page, pos, first) of numbered pages: every run of ``length`` tokens that stands on at least two pages; ``first`` marks the
+    one that comes first in the order of page and position. An anchor or run on very many pages is joined in parts."""
+    anchor = pages.select("page", "token_ids").mapInArrow(_anchor_rows(length), "page bigint, anchor bigint")
+    several = lambda df, by, *more: df.groupBy(*by).agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.count("*").alias("n"), *more).filter("lo <> hi").drop("lo", "hi")
+    hit = spread_join(anchor, several(anchor, ["anchor"]), ["anchor"], "left_semi").groupBy("page").agg(F.collect_set("anchor").alias("anchors"))
+    runs = cut(pages.join(hit, "page").select("page", "token_ids", "anchors").mapInArrow(_run_rows(length), "page bigint, pos bigint, ha bigint, hb bigint"))
+    group = several(runs, ["ha", "hb"], F.min(F.struct("page", "pos")).alias("at"))
+    return spread_join(runs, group, ["ha", "hb"]).select("page", "pos", ((F.col("at.page") == F.col("page")) & (F.col("at.pos") == F.col("pos"))).alias("first"))
+
+
+def page_stretches(runs: DataFrame, length: int = 24) -> DataFrame:
+    """(page, span_start, span_end): the longest stretches of positions covered by runs. Touching runs are one stretch."""
+    page = Window.partitionBy("page").orderBy("pos")
+    broken = F.coalesce(F.col("pos") > F.lag("pos").over(page) + length, F.lit(True))
+    isle = runs.select("page", "pos").distinct().withColumn("new", broken.cast("int")).withColumn("island", F.sum("new").over(page))
+    return isle.groupBy("page", "island").agg(F.min("pos").alias("span_start"), (F.max("pos") + length).alias("span_end")).drop("island")
+
+
+def shared_stretches(page_tokens: DataFrame, length: int = 24) -> DataFrame:
+    """(page key, span_start, span_end): the longest stretches whose positions all lie in a run of ``length`` tokens that stands
+    on another page as well.
 
     Repeated pages count once. Null, empty or broken blobs hold no runs; a run repeated within one page alone is not shared.
     """
-    pages = one_row_per_page(page_tokens, "token_ids")
-    anchor = pages.select(*KEY, "token_ids").mapInArrow(_anchor_rows(length), f"{PAGE}, anchor bigint")
-    several = lambda df, *by: df.withColumn("uid", _uid()).groupBy(*by).agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo <> hi").select(*by)
-    hit = anchor.join(several(anchor, "anchor"), "anchor", "left_semi").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
-    # keys may be null, so the join must take null for equal to null
-    h = hit.select(*(F.col(c).alias(f"h_{c}") for c in KEY), "anchors")
-    same = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in KEY]
-    runs = pages.join(h, same).select(*KEY, "token_ids", "anchors").mapInArrow(_run_rows(length), f"{PAGE}, pos bigint, ha bigint, hb bigint")
-    first = F.min(F.struct(*KEY, "pos")).alias("at")
-    group = runs.withColumn("uid", _uid()).groupBy("ha", "hb").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), first).filter("lo <> hi").select("ha", "hb", "at")
-    return runs.join(group, ["ha", "hb"]).select(*KEY, "pos", F.col("at").eqNullSafe(F.struct(*KEY, "pos")).alias("first"))
-
-
-def stretches(runs: DataFrame, length: int = 24) -> DataFrame:
-    """(page key, span_start, span_end): the longest stretches of positions covered by runs. Touching runs are one stretch."""
-    page = Window.partitionBy(*KEY).orderBy("pos")
-    broken = F.coalesce(F.col("pos") > F.lag("pos").over(page) + length, F.lit(True))
-    return (
-        runs.select(*KEY, "pos").distinct().withColumn("new", broken.cast("int")).withColumn("island", F.sum("new").over(page)).groupBy(*KEY, "island")
-        .agg(F.min("pos").alias("span_start"), (F.max("pos") + length).alias("span_end")).select(*KEY, "span_start", "span_end")
-    )
+    pages = numbered_pages(page_tokens)
+    return page_stretches(page_runs(pages, length), length).join(pages.select("page", *KEY), "page").select(*KEY, "span_start", "span_end")
 
 
 def shared_fraction(page_tokens: DataFrame, length: int = 24) -> DataFrame:
@@ -105,12 +107,33 @@ def shared_fraction(page_tokens: DataFrame, length: int = 24) -> DataFrame:
 
     Every page comes out; one without tokens or shared runs has zeros.
     """
+    pages = numbered_pages(page_tokens)
+    runs = cut(page_runs(pages, length))
     size = F.when(F.octet_length("token_ids") % 4 == 0, F.expr("octet_length(token_ids) div 4")).otherwise(0)
-    total = page_tokens.select(*KEY, F.coalesce(size, F.lit(0)).cast("bigint").alias("n_tokens")).dropDuplicates(KEY)
-    runs = shared_runs(page_tokens, length)
-    covered = lambda df, name: stretches(df, length).groupBy(*KEY).agg(F.sum(F.col("span_end") - F.col("span_start")).alias(name))
-    out = total
+    out = pages.select("page", *KEY, F.coalesce(size, F.lit(0)).cast("bigint").alias("n_tokens"))
     for name, part in (("n_shared", runs), ("n_later", runs.filter("not first"))):
-        c = covered(part, name).select(*(F.col(k).alias(f"c_{k}") for k in KEY), name)
-        out = out.join(c, [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in KEY], "left").drop(*(f"c_{k}" for k in KEY))
-    return out.fillna(0, ["n_shared", "n_later"])
+        out = out.join(page_stretches(part, length).groupBy("page").agg(F.sum(F.col("span_end") - F.col("span_start")).alias(name)), "page", "left")
+    return out.drop("page").fillna(0, ["n_shared", "n_later"])
+
+
+def _without(batches):
+    for batch in batches:
+        flat, at = unpack(batch.column("token_ids"))
+        # +1 where a stretch begins and -1 behind its end: a token stays where the sum is 0
+        edge = np.zeros(len(flat) + 1, np.int64)
+        lists = batch.column("spans")
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0), np.int64))
+        spans = lists.flatten()
+        np.add.at(edge, at[row] + np.asarray(spans.field("span_start"), np.int64), 1)
+        np.add.at(edge, at[row] + np.asarray(spans.field("span_end"), np.int64), -1)
+        keep = np.cumsum(edge[:-1]) == 0
+        left = np.concatenate([[0], np.cumsum(keep)])[at]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(flat[keep].astype(np.int64)))], names=[*KEY, "token_ids"])
+
+
+def without_later(page_tokens: DataFrame, length: int = 24) -> DataFrame:
+    """(page key, token_ids array<bigint>): every page without the tokens that a shared run other than its first covers. A page
+    that repeats an earlier one as a whole comes out empty; null, empty and broken blobs give []."""
+    pages = numbered_pages(page_tokens)
+    later = page_stretches(page_runs(pages, length).filter("not first"), length).groupBy("page").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
+    return pages.join(later, "page", "left").select(*KEY, "token_ids", "spans").mapInArrow(_without, f"{PAGE}, token_ids array<bigint>")

@@ -33,6 +33,17 @@ _RUNS = f"""{_PAGES}, {_TOKS}, seq as (select book_id, part_index, page_id, list
  spans as (select book_id, part_index, page_id, min(pos) as span_start, max(pos) + 24 as span_end from isle group by book_id, part_index, page_id, k)"""
 
 
+_LATER = f"""{_RUNS}, size as (select book_id, part_index, page_id, case when octet_length(t) % 4 = 0 then octet_length(t) // 4 else 0 end as n_tokens from (select book_id, part_index, page_id, coalesce(t, ''::blob) as t from pages)),
+ ranked as (select *, row_number() over (partition by x order by book_id, part_index, page_id, pos) as place from hit),
+ cover as (select book_id, part_index, page_id, pos + k as pos, bool_or(place > 1) as later from ranked, (select unnest(range(24)) as k) group by book_id, part_index, page_id, pos + k)"""
+_HALVES = f"""{_PAGES}, sizes as (select book_id, part_index, page_id, case when octet_length(t) % 4 = 0 then octet_length(t) // 4 else 0 end as n from (select book_id, part_index, page_id, coalesce(t, ''::blob) as t from pages)),
+ ranges as (select book_id, part_index, n, (sum(n) over (partition by book_id order by part_index, page_id) - n)::bigint as b from sizes),
+ br as (select book_id, b, max(s) as s from (select book_id, b, 1 as s from ranges union all select book_id, min(b), 2 from ranges where n > 0 group by book_id, part_index) where b > 0 group by all),
+ w as (select book_id, window_idx, any_value(global_start) as s, any_value(global_end) as e from windows where len(lemma_ids) > 400 and root_ids is not null group by all),
+ p as (select book_id, window_idx, s, s as a, e as b from w union all
+  select book_id, window_idx, s, case when half = 0 then a else c end, case when half = 0 then c else b end from (select *, coalesce((select arg_max(br.b, [br.s, -abs(br.b - (p.a + p.b) // 2), -br.b]) from br where br.book_id = p.book_id and br.b > p.a and br.b < p.b and abs(br.b - (p.a + p.b) // 2) <= (p.b - p.a) // 4), (p.a + p.b) // 2) as c from p where p.b - p.a > 360), (select unnest([0, 1]) as half))"""
+
+
 def _near(column: str, least: int) -> str:
     return f"""select a.book_id as book_id_a, a.part_index as part_index_a, a.page_id as page_id_a, b.book_id as book_id_b, b.part_index as part_index_b, b.page_id as page_id_b
  from s a join s b on (a.book_id, a.part_index, a.page_id) < (b.book_id, b.part_index, b.page_id) and len(a.{column}) * 100 >= {least} * len(b.{column}) and len(b.{column}) * 100 >= {least} * len(a.{column})
@@ -50,10 +61,19 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"with {_COUNTS} select kind, term_id, mark from marked where mark in ('rare', 'common')",
         "p3_counts": f"with {_COUNTS} select kind, term_id, occurrences, pages, mark from marked",
         "p4_found": f"with {_RUNS} select * from spans",
+        "p4_shares": f"with {_LATER} select book_id, part_index, page_id, n_tokens, coalesce(n_shared, 0) as n_shared, coalesce(n_later, 0) as n_later from size left join (select book_id, part_index, page_id, count(*) as n_shared, count(*) filter (later) as n_later from cover group by all) using (book_id, part_index, page_id)",
+        "p4_kept": f"with {_LATER} select book_id, part_index, page_id, coalesce(n_kept, 0) as n_kept, coalesce(kept, '') as kept from size left join (select book_id, part_index, page_id, count(*) as n_kept, string_agg(token_id::varchar, ',' order by pos) as kept from toks t left join cover c using (book_id, part_index, page_id, pos) where not coalesce(later, false) group by all) using (book_id, part_index, page_id)",
+        "p5_halves": f"with recursive {_HALVES} select book_id, window_idx, row_number() over (partition by book_id, window_idx order by a) - 1 as piece_no, case when a > s then greatest(s, a - 40) else a end as piece_start, b as piece_end from p where b - a <= 360",
         "p5_found": f"""with recursive {_PAGES}, sizes as (select book_id, part_index, page_id, case when octet_length(t) % 4 = 0 then octet_length(t) // 4 else 0 end as n from (select book_id, part_index, page_id, coalesce(t, ''::blob) as t from pages)),
  br as (select distinct book_id, (sum(n) over (partition by book_id order by part_index, page_id) - n)::bigint as b from sizes), w as (select book_id, window_idx, any_value(global_start) as s, any_value(global_end) as e from windows where len(lemma_ids) > 400 and root_ids is not null group by all),
  p as (select book_id, window_idx, 0 as piece_no, s as piece_start, case when e - s <= 400 then e else coalesce((select max(b) from br where br.book_id = w.book_id and b > s + 40 and b <= s + 400), s + 400) end as piece_end, e from w
  union all select book_id, window_idx, piece_no + 1, piece_end - 40, case when e - piece_end + 40 <= 400 then e else coalesce((select max(b) from br where br.book_id = p.book_id and b > p.piece_end and b <= p.piece_end + 360), p.piece_end + 360) end, e from p where piece_end < e)
  select book_id, window_idx, piece_no::bigint as piece_no, piece_start, piece_end from p""",
+        "p7_groups": f"""with recursive s as materialized (select book_id, part_index, page_id, list_sort({clean('lemma_ids')}) as l, list_sort({clean('root_ids')}) as r from page_lemmas where len(lemma_ids) >= 30 group by all),
+ c as materialized (select l, r, min((book_id, part_index, page_id)) as k from s group by all),
+ links as materialized (select a.k as a, b.k as b from c a join c b on a.k < b.k where (len(a.l) > 0 and len(list_intersect(a.l, b.l)) * 100 >= 70 * (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l)))) or (len(a.r) > 0 and len(list_intersect(a.r, b.r)) * 100 >= 80 * (len(a.r) + len(b.r) - len(list_intersect(a.r, b.r))))),
+ ends as (select a as x, b as y from links union all select b, a from links), reach as (select k as x, k as y from c union select reach.x, ends.y from reach join ends on ends.x = reach.y),
+ g as (select x, min(y) as root from reach group by x), n as (select x, count(*) as n from ends group by x)
+ select book_id, part_index, page_id, k[1] as class_book_id, k[2] as class_part_index, k[3] as class_page_id, root[1] as group_book_id, root[2] as group_part_index, root[3] as group_page_id, coalesce(n, 0) as n_links from s join c using (l, r) join g on g.x = k left join n on n.x = k""",
         "p7_found": f"with s as (select book_id, part_index, page_id, {clean('lemma_ids')} as l, {clean('root_ids')} as r from page_lemmas where len(lemma_ids) >= 30 group by all) {_near('l', 70)} union {_near('r', 80)}",
     }
