@@ -119,6 +119,17 @@ _VALID = "case when core_similarity >= 0.9::float then 'valid' else 'noise' end"
 _MATCHED = lambda s: f"(select coalesce(string_agg(t.surface, ' ' order by t.pos), '') from stream t where t.book_id = w.{s}_book_id and t.pos >= w.{s}_global_start and t.pos < w.{s}_global_end)"
 
 
+def _report() -> str:
+    """An edge in three lines. Decimals are rounded half up, an absent value is 'null'."""
+    n = lambda x: f"coalesce(({x})::varchar, 'null')"
+    tenths = lambda c: f"coalesce((floor({c}::double * 100 * 10 + 0.5)::bigint // 10) || '.' || (floor({c}::double * 100 * 10 + 0.5)::bigint % 10), 'null') || '%'"
+    cents = lambda c: f"coalesce((floor({c}::double * 100 + 0.5)::bigint // 100) || '.' || lpad((floor({c}::double * 100 + 0.5)::bigint % 100)::varchar, 2, '0'), 'null')"
+    at = lambda s, e: f"{n(f'{s}_{e}_page.part_index')} || ':' || {n(f'{s}_{e}_page.page_id')} || '.' || {n(f'{s}_{e}_offset')}"
+    book = lambda s: f"'Book ' || {n(f'{s}_book_id')} || ' [' || {at(s, 'start')} || '→' || {at(s, 'end')} || ']'"
+    return f"""with {_EDGES} select id, 'Edge ' || id || ': len=' || {n('aligned_length')} || ' matches=' || {n('lemma_matches')} || ' subs=' || {n('substitutions')} || ' gaps=' || {n('gaps')} || chr(10) || '  Core: ' || {tenths('core_similarity')} || '  Coverage: ' || {tenths('span_coverage')} || '  Weight: ' || {cents('content_weight')} || '  Diversity: ' || {cents('lexical_diversity')}
+ || ' (' || case when lexical_diversity < 0.55::float then 'formulaic' else 'substantive' end || ')' || chr(10) || '  ' || {book('source')} || ' ↔ ' || {book('target')} as lines from e where lexical_diversity is not null"""
+
+
 def oracle_sql() -> dict[str, str]:
     band = lambda c, h, m, absent: f"case when coalesce({c}, {absent}) >= {h}::float then 'high' when coalesce({c}, {absent}) >= {m}::float then 'medium' else 'low' end as {c}_band"
     ppm = lambda x, n: f"floor(({x})::float::double * 1000000)::bigint as {n}_ppm"
@@ -169,5 +180,6 @@ def oracle_sql() -> dict[str, str]:
         "short_export": f"with {_BASE}, {_EDGES}, {_WHOLE} select id, {_VALID} as validation, {_MATCHED('source')} as source_text, {_MATCHED('target')} as target_text, {_millionths('lemma_similarity').replace('lemma_similarity_ppm', 'similarity_ppm')} from w where core_similarity >= 0.9::float or core_similarity < 0.7::float",
         "edge_search_sort": f"""with {_BASE}, {_EDGES}, {_WHOLE}, x as (select id, aligned_length, coalesce(core_similarity, lemma_similarity) as c, {_MATCHED('source')} as a, {_MATCHED('target')} as b from w)
  select id, row_number() over (order by c desc nulls last, id) as place, case when length(a) <= 60 then a else substring(a, 1, 60) || '...' end as source_preview, case when length(b) <= 50 then b else substring(b, 1, 50) || '...' end as target_preview from x where (contains(a, 'ال') or contains(b, 'ال')) and coalesce(aligned_length >= 20, true)""",
+        "edge_report": _report(),
         "flat_export": f"with {_EDGES} select {_flat()} from e",
     }

@@ -79,10 +79,11 @@ def write_result_file(header: dict, edges: DataFrame, path: str | Path) -> None:
 
 
 def edge_text(text: bool = False) -> Column:
-    """An edge as lines to read; with ``text`` for nested edges and with the first 100 characters of both passages."""
+    """An edge as lines to read, an absent metric as 'null'; with ``text`` for nested edges and with the first 100 characters of both passages."""
     a = lambda c, flat=None: F.col(f"alignment.{c}" if text else flat or c)
-    per = lambda c: F.format_string("%.1f%%", a(c).cast("double") * 100)
-    num = lambda c: F.format_string("%.2f", a(c))
+    shown = lambda f, x: F.when(x.isNotNull(), F.format_string(f, x)).otherwise("null")
+    per = lambda c: F.concat(shown("%.1f", a(c).cast("double") * 100), F.lit("%"))
+    num = lambda c: shown("%.2f", a(c))
     first = F.format_string("Edge %d: len=%d matches=%d subs=%d gaps=%d", F.col("id"), a("length", "aligned_length"), a("lemma_matches"), a("substitutions"), a("gaps"))
     second = F.concat(F.lit("  Core: "), per("core_similarity"), F.lit("  Coverage: "), per("span_coverage"), F.lit("  Weight: "), num("content_weight"), F.lit("  Diversity: "), num("lexical_diversity"), F.lit(" ("), diversity_label(a("lexical_diversity")), F.lit(")"))
     if text:
@@ -108,7 +109,7 @@ def summary_report(header: dict) -> str:
     dated = "generated_at" in header
     book = lambda x: f"Book {x.upper()}: {header[f'book_{x}']['id']}" + (f" - {header[f'book_{x}']['title'] or '(untitled)'}" if dated else "") + f" ({header[f'book_{x}']['token_count']} tokens)"
     per = lambda x: f"{x * 100:.1f}%"
-    out = ["", "=== Comparison Summary ===", f"Version: {header['version']}", *([f"Generated: {header['generated_at']}"] if dated else []), "", book("a"), book("b"), "", "Parameters:"]
-    out += [f"  {label}: {p[key]}" for label, key in (("Window size", "window_size"), ("Stride", "stride"), ("N-gram size", "ngram_size"), ("Min shared shingles", "min_shared_shingles"), ("Min length", "min_length"))]
-    out += [f"  Min similarity: {per(p['min_similarity'])}", f"  Brute force: {str(p['brute_force']).lower()}", "", "Results:", f"  Edges found: {s['edge_count']}", f"  Total aligned tokens: {s['total_aligned_tokens']}"]
-    return "\n".join([*out, f"  Book A coverage: {per(s['book_a_coverage'])}", f"  Book B coverage: {per(s['book_b_coverage'])}", f"  Average similarity: {per(s['avg_similarity'])}"])
+    out = ["", "== Comparison ==", f"Version: {header['version']}", *([f"Generated: {header['generated_at']}"] if dated else []), "", book("a"), book("b"), "", "With"]
+    out += [f"  {label}: {p[key]}" for label, key in (("tokens in a window", "window_size"), ("step between windows", "stride"), ("tokens in a shingle", "ngram_size"), ("least shared shingles", "min_shared_shingles"), ("least length", "min_length"))]
+    out += [f"  least similarity: {per(p['min_similarity'])}", f"  all windows compared: {str(p['brute_force']).lower()}", "", "Found", f"  Edges found: {s['edge_count']}", f"  tokens aligned: {s['total_aligned_tokens']}"]
+    return "\n".join([*out, f"  share of book A covered: {per(s['book_a_coverage'])}", f"  share of book B covered: {per(s['book_b_coverage'])}", f"  mean similarity: {per(s['avg_similarity'])}"])
