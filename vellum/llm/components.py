@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.cut import cut, drop
+from vellum.functions.cut import cut, drop, spread_join
 
-#: A round of stripping or compressing that removes a smaller share of the edges hands the rest to the core solver.
+#: A round of stripping or compressing that removes a smaller share of the edges hands the rest to the core solver. This says
+#: which step solves the rest, never what the groups are.
 WORTH = 0.05
 
 
@@ -139,8 +140,9 @@ def components(pairs: DataFrame) -> DataFrame:
         now = cut(label.unionByName(back))
         drop(label, gone)
         label = now
-    low = label.groupBy("root").agg(F.least(F.min("child"), F.first("root")).alias("low"))
-    named = label.join(low, "root").select(F.col("child").alias("v"), F.col("low").alias("root")).unionByName(low.select(F.col("root").alias("v"), F.col("low").alias("root")))
+    # a component with a third of all vertices is one root, so its rows are joined in parts
+    low = cut(label.groupBy("root").agg(F.least(F.min("child"), F.first("root")).alias("low"), F.count("*").alias("n")))
+    named = spread_join(label, low, ["root"]).select(F.col("child").alias("v"), F.col("low").alias("root")).unionByName(low.select(F.col("root").alias("v"), F.col("low").alias("root")))
     alone = vertices.join(named.select("v"), "v", "left_anti").select("v", F.col("v").alias("root"))
     return named.unionByName(alone)
 
@@ -165,13 +167,13 @@ def consolidate(edges: DataFrame) -> DataFrame:
         open_ = lambda c: (F.shiftright(F.col(c), bits) + F.lit(b0), F.col(c).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(g0))
         (b, g), (gb, gg) = open_("v"), open_("root")
         return out.select(b.alias("book_id"), g.alias("global_start"), gb.alias("group_book_id"), gg.alias("group_global_start"))
-    numbered = cut(numbered(both.distinct(), ["book_id", "global_start"]))
+    places = cut(numbered(both.distinct(), ["book_id", "global_start"]))
     e = cut(e)
     for s in "st":
-        e = e.join(numbered.select(F.col("book_id").alias(f"{s}_book_id"), F.col("global_start").alias(f"{s}_global_start"), F.col("no").alias(f"{s}_no")), [f"{s}_book_id", f"{s}_global_start"])
+        e = e.join(places.select(F.col("book_id").alias(f"{s}_book_id"), F.col("global_start").alias(f"{s}_global_start"), F.col("no").alias(f"{s}_no")), [f"{s}_book_id", f"{s}_global_start"])
     out = components(e.select(F.col("s_no").alias("u"), F.col("t_no").alias("v")))
-    of = numbered.select(F.col("book_id").alias("group_book_id"), F.col("global_start").alias("group_global_start"), F.col("no").alias("root"))
-    return out.join(numbered.withColumnRenamed("no", "v"), "v").join(of, "root").select("book_id", "global_start", "group_book_id", "group_global_start")
+    of = places.select(F.col("book_id").alias("group_book_id"), F.col("global_start").alias("group_global_start"), F.col("no").alias("root"))
+    return out.join(places.withColumnRenamed("no", "v"), "v").join(of, "root").select("book_id", "global_start", "group_book_id", "group_global_start")
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
