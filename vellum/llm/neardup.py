@@ -124,8 +124,9 @@ def _fingerprints(bound: float, seed: int):
             if not len(ids):
                 continue
             out_id, out_key = [], []
-            h = minima(values, n, segments * (BITS + 2), seed)
+            h = minima(values, n, segments * (BITS + 2) + SKETCH, seed)
             bit = (h & np.uint32(1)).astype(np.uint64)
+            sketch = [sum(bit[segments * (BITS + 2) + k * 64 + i] << np.uint64(i) for i in range(64)).view(np.int64) for k in range(2)]
             for s in range(segments):
                 rows = slice(s * (BITS + 2), s * (BITS + 2) + BITS)
                 word = sum(bit[rows][i] << np.uint64(i) for i in range(BITS)).astype(np.int64)
@@ -136,20 +137,8 @@ def _fingerprints(bound: float, seed: int):
                 with np.errstate(over="ignore"):
                     key = mix64(mix64(low)[row] + (index[keep].astype(np.uint64) | np.uint64(s << 12) | np.uint64(seed << 32)))
                 out_id.append(row), out_key.append(key)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(out_id))), pa.array(np.concatenate(out_key).view(np.int64))], names=["rep", "key"])
-
-    return run
-
-
-def _sketches(seed: int):
-    def run(batches):
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            values, n = unlist(batch.column("ids"))
-            if not batch.num_rows:
-                continue
-            bit = (minima(values, n, SKETCH, seed + 100) & np.uint32(1)).astype(np.uint64)
-            words = [sum(bit[k * 64 + i] << np.uint64(i) for i in range(64)).view(np.int64) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), *(pa.array(w) for w in words)], names=["rep", "ids", "f0", "f1"])
+            row = np.concatenate(out_id)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(np.concatenate(out_key).view(np.int64)), *(pa.array(f[row]) for f in sketch)], names=["rep", "key", "f0", "f1"])
 
     return run
 
@@ -165,17 +154,15 @@ def similar_sets(sets: DataFrame, bound: float, seed: int = 1, exact: bool = Fal
     kept aside, as ``near_pages`` does. With ``exact`` the pairs to compare come from ``rare_id_pairs`` and none is missed."""
     sets = sets.filter(F.size("ids") > 0)
     if exact:
-        pairs, near = rare_id_pairs(sets, bound), "true"
+        pairs = rare_id_pairs(sets, bound)
     else:
-        # a row of the join is two numbers; sketches are fetched for distinct pairs only
-        marked = sets.mapInArrow(_fingerprints(bound, seed), "rep bigint, key bigint")
-        a, b = (marked.select("key", F.col("rep").alias(x)) for x in "ab")
-        pairs, near = a.join(b, "key").filter("a < b").select("a", "b").distinct(), f"bit_count(f0_a ^ f0_b) + bit_count(f1_a ^ f1_b) <= {_reach(bound)}"
-        sets = sets.mapInArrow(_sketches(seed), "rep bigint, ids array<bigint>, f0 bigint, f1 bigint")
-    if exact:
-        sets = sets.select("rep", "ids")
-    of = lambda x: sets.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in sets.columns if c != "rep"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").filter(near).withColumn("shared", F.size(F.array_intersect("ids_a", "ids_b")))
+        # sketches travel with the keys: without them the pairs that meet by chance would be shuffled to be told apart
+        marked = sets.mapInArrow(_fingerprints(bound, seed), "rep bigint, key bigint, f0 bigint, f1 bigint")
+        a, b = (marked.select("key", F.col("rep").alias(x), F.col("f0").alias(f"{x}0"), F.col("f1").alias(f"{x}1")) for x in "ab")
+        near = f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {_reach(bound)}"
+        pairs = a.join(b, "key").filter(f"a < b and {near}").select("a", "b").distinct()
+    of = lambda x: sets.select(F.col("rep").alias(x), F.col("ids").alias(f"ids_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("ids_a", "ids_b")))
     all_ = F.size("ids_a") + F.size("ids_b") - F.col("shared")
     return both.filter(F.col("shared") * 1000 >= all_ * round(bound * 1000)).select("a", "b")
 
