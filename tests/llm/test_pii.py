@@ -23,6 +23,41 @@ def test_decoding_is_exact():
         assert tuple(got[r, :n]) == best
 
 
+def test_a_step_does_no_needless_work(monkeypatch):
+    """Scores against a plain network, row by row; rows that have ended take no work, and embeddings are looked up, not gates."""
+    rng = np.random.default_rng(2)
+    w, size = pii_train.start(6, 5, rng), np.array([1, 2, 5, 5, 40])
+    for k in ("bo", "bf", "bb"):
+        w[k] = rng.normal(size=w[k].shape).astype(np.float32)
+    ids = np.zeros((len(size), size.max()), np.intp)
+    for r, n in enumerate(size):
+        ids[r, :n] = rng.integers(1, 60, n)
+    done, m = {"tanh": 0, "take": 0}, pii.Model(w)
+    for name in done:
+
+        def counted(*args, f=getattr(np, name), name=name, **more):
+            y = f(*args, **more)
+            done[name] += y.size
+            return y
+
+        monkeypatch.setattr(np, name, counted)
+    got = m.emissions(ids, size)
+    monkeypatch.undo()
+    h, wide, steps = m.hidden, w["E"].shape[1], 2 * (size.sum() + len(size))  # the step after a row's last one reads its scores
+    assert done["tanh"] <= steps * 5 * h and done["take"] <= steps * wide
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for r, n in enumerate(size):
+        want = np.tile(w["bo"].astype(float), (n, 1))
+        for k, d in enumerate("fb"):
+            state, cell = np.zeros(h), np.zeros(h)
+            for t in range(n) if d == "f" else range(n - 1, -1, -1):
+                i, f, o, q = (w["E"][ids[r, t]] @ w[f"W{d}"] + w[f"b{d}"] + state @ w[f"U{d}"]).reshape(4, h)
+                cell = sigmoid(f) * cell + sigmoid(i) * np.tanh(q)
+                state = sigmoid(o) * np.tanh(cell)
+                want[t] += state @ w["Wo"][k * h : (k + 1) * h]
+        assert np.allclose(got[:n, :, r], want, atol=1e-5)
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     w = {k: v.astype(np.float64) for k, v in pii_train.start(4, 3, rng).items()}

@@ -82,10 +82,13 @@ class Model:
         self.w = weights
         h = self.hidden = weights["Uf"].shape[0]
         half = np.ones(4 * h, np.float32)
-        half[: 3 * h] = 0.5  # a sigmoid is a tanh of half its argument
-        by_gate = lambda m: np.ascontiguousarray((m * half).astype(np.float32).reshape(-1, 4, h).transpose(1, 0, 2))
-        self.table = [by_gate(weights["E"] @ weights[f"W{d}"] + weights[f"b{d}"]) for d in "fb"]
-        self.u = [by_gate(weights[f"U{d}"]) for d in "fb"]
+        half[: 3 * h] = 0.5  # a sigmoid is a tanh of half its argument, plus one, halved
+        self.embed = np.ascontiguousarray(weights["E"].T, np.float32)
+        self.step = []
+        for k, d in enumerate("fb"):  # by (twice the state, embedding, 1): a step's gates, and the emissions of the step before
+            gates = np.vstack([0.5 * weights[f"U{d}"], weights[f"W{d}"], weights[f"b{d}"][None]]) * half
+            out = np.vstack([0.5 * weights["Wo"][k * h : (k + 1) * h], np.zeros((len(self.embed), len(TAGS))), weights["bo"][None] * (k == 0)])
+            self.step.append(np.ascontiguousarray(np.hstack([gates, out]).T.astype(np.float32)))
 
     @classmethod
     def load(cls, path: str | Path | None = None) -> Model:
@@ -93,77 +96,84 @@ class Model:
             return cls({k: z[k] for k in z.files})
 
     def emissions(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Scores (time, tag, row) of padded windows ``ids`` (row, time)."""
+        """Scores (time, tag, row) of padded windows ``ids`` (row, time), sorted by size; a step leaves out rows that have ended."""
         rows, time = ids.shape
-        n, out = self.hidden, np.empty((time, len(TAGS), rows), np.float32)
-        out[:] = self.w["bo"][:, None]
+        n, m = self.hidden, self.hidden + len(self.embed)
+        out = np.zeros((time, len(TAGS), rows), np.float32)
         x = np.ascontiguousarray(ids.T)
-        shortest = int(size.min())
+        ended = np.searchsorted(size, np.arange(time), "right").tolist()  # so many rows have ended before each step
+        whole, cell = np.empty((4 * n + len(TAGS), rows), np.float32), np.empty((n, rows), np.float32)
         for d in (0, 1):
-            h, c = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
-            z, t = np.empty((4, rows, n), np.float32), np.empty((4, rows, n), np.float32)
-            table, u, proj = self.table[d], self.u[d], np.ascontiguousarray(self.w["Wo"][d * n : (d + 1) * n].T)
-            gate, (i, f, o, q) = z[:3], z
-            for k in range(time) if d == 0 else range(time - 1, -1, -1):
-                for g in range(4):
-                    np.take(table[g], x[k], axis=0, out=z[g], mode="clip")
-                np.matmul(h, u, out=t)
-                z += t
-                np.tanh(z, out=z)
-                gate *= 0.5
-                gate += 0.5
+            step, state = self.step[d], np.zeros((m + 1, rows), np.float32)
+            state[m], cell[:] = 1, 0
+            at, before, left_out = (range(time), -1, -1) if d == 0 else (range(time - 1, -1, -1), time, -1)
+            for k in at:
+                a = ended[k if d else max(k - 1, 0)]
+                if a != left_out:
+                    left_out, live, c, z = a, state[:, a:], cell[:, a:], whole[:, a:]
+                    h, seen, gate, sigmoid, score = live[:n], live[n:m], z[: 4 * n], z[: 3 * n], z[4 * n :]
+                    i, f, o, q = gate.reshape(4, n, -1)
+                np.take(self.embed, x[k, a:], axis=1, out=seen, mode="clip")
+                np.matmul(step, live, out=z)
+                if 0 <= before < time:
+                    out[before, :, a:] += score
+                np.tanh(gate, out=gate)
+                sigmoid += 1
                 c *= f
-                np.multiply(i, q, out=q)
-                c += q
+                i *= q
+                c += i
+                c *= 0.5
                 np.tanh(c, out=h)
                 h *= o
-                if d and k >= shortest:  # the backward state starts at each row's end
-                    past = size <= k
-                    h[past] = 0
-                    c[past] = 0
-                out[k] += proj @ h.T
+                before = k
+            out[before] += step[4 * n :] @ state
         return out
 
     def viterbi(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Best tags (row, time). As O and B tags follow any tag at a price of two parts, one maximum serves all of them."""
         time, _, rows = e.shape
         leave, enter = self.w["leave"][:, None], self.w["enter"][:, None]
-        begin, go = self.w["begin"][:, None], self.w["go"][:, None]
+        on = np.stack([self.w["begin"], self.w["go"]], 1).reshape(-1, 1)
         came, stay = np.zeros((time, rows), np.uint8), np.zeros((time, len(KINDS), rows), bool)
         score = np.full((len(TAGS), rows), -1e4, np.float32)
         score[0] = self.w["S"][0] + e[0, 0]
         score[1::2] = self.w["S"][1::2, None] + e[0, 1::2]
-        final, last = np.empty(rows, np.intp), size - 1
-        ends = [np.flatnonzero(last == k) for k in range(time)]
+        left, kept, top = np.empty_like(score), np.empty_like(score[1:]), np.empty_like(score[0])
+        final, last, shortest = np.zeros(rows, np.uint8), size - 1, int(size.min())
+        ends = [()] * time
+        for n in np.unique(last):
+            ends[n] = np.flatnonzero(last == n)
         for k in range(time):
             if k:
-                out = score + leave
-                came[k] = out.argmax(0)
-                top = out.max(0)
-                a, b = score[1::2] + begin, score[2::2] + go
+                np.add(score, leave, out=left)
+                left.max(0, out=top)
+                other = (top > left[0]).nonzero()[0]  # few rows; the rest came from O
+                if len(other):
+                    came[k, other] = left[:, other].argmax(0)
+                if k >= shortest:
+                    came[k, last < k] = 0
+                np.add(score[1:], on, out=kept)
+                a, b = kept[::2], kept[1::2]
                 np.greater(b, a, out=stay[k])
-                now = np.empty_like(score)
-                now[2::2] = np.maximum(a, b)
-                now[0] = top + enter[0]
-                now[1::2] = top + enter[1:]
-                now += e[k]
-                score = now
+                np.maximum(a, b, out=score[2::2])
+                np.add(top, enter[0], out=score[0])
+                np.add(top, enter[1:], out=score[1::2])
+                score += e[k]
             if len(ends[k]):
                 final[ends[k]] = score[:, ends[k]].argmax(0)
-        tags, tag, line = np.zeros((time, rows), np.uint8), np.zeros(rows, np.intp), np.arange(rows)
+        tags, tag = np.zeros((time, rows), np.uint8), np.zeros(rows, np.uint8)
         for k in range(time - 1, -1, -1):
             if len(ends[k]):
                 tag[ends[k]] = final[ends[k]]
-            live = tag.any()
-            if live:
-                tags[k] = np.where(k < size, tag, 0)
+            tags[k] = tag
             if k:
-                back = came[k].astype(np.intp)
-                if live:
-                    inside = (tag > 0) & (tag % 2 == 0)
-                    kind = np.maximum(tag - 1, 0) // 2
-                    back = np.where(inside, np.where(stay[k][kind, line], tag, tag - 1), back)
-                tag = np.where(k < size, back, 0)
+                marked = tag.nonzero()[0]
+                at = tag[marked]
+                tag = came[k].copy()
+                if len(marked):
+                    inside = at % 2 == 0
+                    marked, at = marked[inside], at[inside]
+                    tag[marked] = np.where(stay[k, at // 2 - 1, marked], at, at - 1)
         return np.ascontiguousarray(tags.T)
 
     def tag(self, docs: list[np.ndarray]) -> list[np.ndarray]:
@@ -193,7 +203,9 @@ class Model:
 def found(tags: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the tagged runs. A run of one kind that is broken by a blank, or opens with I, is one span; blanks
     at its ends are left out."""
-    kind = (tags.astype(int) + 1) // 2
+    if not tags.any():
+        return []
+    kind = (tags + 1) // 2
     begin = (tags % 2 == 1) & (tags > 0)
     edge = np.flatnonzero((kind[1:] != kind[:-1]) | begin[1:]) + 1
     out = []
