@@ -80,3 +80,17 @@ def test_texts_meet_texts(spark):
     got = window_alignments(c, a.unionByName(b), p).select("book_a", "book_b", "a_start", "a_end", "b_start", "b_end", "pairs", "lemma_matches")
     assert rows(got) == [(-1, 1, 0, 40, 2, 42, 40, 40), (-4, 1, 0, 40, 2, 42, 40, 40)]
     assert windows.candidates_between(a.filter("false"), b, p).count() == 0
+
+
+def test_all_window_pair_counts_makes_no_pairs(spark):
+    import time
+
+    from vellum.operators.windows import all_window_pair_counts, all_window_pairs
+
+    small = spark.createDataFrame([(b, k) for b, n in ((1, 3), (2, 1), (5, 4)) for k in range(n)], "book_id bigint, window_idx bigint")
+    want = small.unionAll(spark.createDataFrame([(None, 0)], small.schema))
+    assert rows(all_window_pair_counts(want)) == rows(all_window_pairs(small).groupBy("book_a", "book_b").count()) == [(1, 2, 3), (1, 5, 12), (2, 5, 4)]
+    began = time.time()
+    large = spark.range(0, 600_000, 1, 4).selectExpr("id % 3 as book_id", "id div 3 as window_idx")
+    assert rows(all_window_pair_counts(large)) == [(0, 1, 40_000_000_000), (0, 2, 40_000_000_000), (1, 2, 40_000_000_000)]
+    assert time.time() - began < 60
