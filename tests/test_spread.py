@@ -94,3 +94,27 @@ def test_all_window_pair_counts_makes_no_pairs(spark):
     large = spark.range(0, 600_000, 1, 4).selectExpr("id % 3 as book_id", "id div 3 as window_idx")
     assert rows(all_window_pair_counts(large)) == [(0, 1, 40_000_000_000), (0, 2, 40_000_000_000), (1, 2, 40_000_000_000)]
     assert time.time() - began < 60
+
+
+def test_candidates_over_tiles(spark, monkeypatch):
+    """Shared shingles are counted tile by tile, without a row for each; a formula in all windows is one of them."""
+    rng = np.random.default_rng(8)
+    formula = rng.integers(0, 50, 30).tolist()
+    data = [(b, k, [*rng.integers(0, 9, 40).tolist(), *(formula if k % 3 else formula[:8])]) for b in range(6) for k in (0, 1, 2, 40, 41)]
+    w = spark.createDataFrame([*data, (6, 0, [1, 2]), (None, 0, formula)], "book_id bigint, window_idx bigint, lemma_ids array<bigint>")
+    grams = [(b, k, {tuple(x[i : i + 5]) for i in range(len(x) - 4)}) for b, k, x in data]
+    for least in (0, 3):
+        want = sorted((a, i, b, j, len(x & y)) for a, i, x in grams for b, j, y in grams if a < b and len(x & y) >= max(1, least))
+        for tile in (2048, 7):
+            monkeypatch.setattr(windows, "TILE", tile)
+            got = windows.candidate_pairs(w, Params(min_shared_shingles=least))
+            assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_shingle_of_all_windows_is_counted_in_place():
+    n, g = 1500, 20
+    side = np.zeros(n * g, np.int32)
+    h = np.tile(np.arange(g), n)
+    book, k = np.repeat(np.arange(n), g), np.zeros(n * g, np.int64)
+    out = windows._tile_counts([side, h, h, book, k], True, 3)
+    assert out.num_rows == n * (n - 1) // 2 and set(out.column("shared").to_pylist()) == {g}
